@@ -34,8 +34,10 @@ def known_at(events: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
     """
     spare = [c for c in events.columns if c not in ("_entity", "_date", "_time")]
     names = list(sources)
-    placed = events.withColumn("_off", F.datediff("_date", F.to_date("_time")))
-    offs = placed.where("_entity is not null and _off is not null").select("_entity", "_off").distinct()
+    whole = F.col("_entity").isNotNull() & F.col("_date").isNotNull() & F.col("_time").isNotNull()
+    placed = events.where(whole).withColumn("_off", F.datediff("_date", F.to_date("_time")))
+    offs = placed.select("_entity", "_off").distinct()
+    nothing = F.lit(None).cast("struct<_day:date,_rank:int,_value:double>")
 
     def changes(name: str) -> DataFrame:
         rows = sources[name].where("_entity is not null and _day is not null and _known is not null").join(offs, "_entity")
@@ -44,7 +46,7 @@ def known_at(events: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
             "_entity",
             "_off",
             F.greatest("_known", F.date_sub("_day", F.col("_off")).cast("timestamp_ntz")).alias("_t"),
-            *((best if n == name else F.lit(None).cast("struct<_day:date,_rank:int,_value:double>")).alias(n) for n in names),
+            *((best if n == name else nothing).alias(n) for n in names),
         )
 
     attributes = changes(names[0])
@@ -52,24 +54,21 @@ def known_at(events: DataFrame, sources: Mapping[str, DataFrame]) -> DataFrame:
         attributes = attributes.unionByName(changes(name))
     attributes = attributes.withColumn("_month", F.trunc("_t", "month"))
     months = attributes.groupBy("_entity", "_off", "_month").agg(*(F.max(n).alias(n) for n in names))
-    before = Window.partitionBy("_entity", "_off").orderBy("_month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the best up to and with each month, valid for the months after it up to the next one listed
-    carried = months.select("_entity", "_off", "_month", *(F.max(n).over(before).alias(f"_to_{n}") for n in names))
 
     sequence = attributes.select("_entity", "_off", "_month", "_t", F.lit(0).alias("_tie"), *names, F.lit(None).cast(events.select(F.struct(*events.columns)).schema[0].dataType).alias("_event"))
     happened = placed.select(
         "_entity", "_off", F.trunc("_time", "month").alias("_month"), F.col("_time").alias("_t"), F.lit(1).alias("_tie"),
-        *(F.lit(None).cast("struct<_day:date,_rank:int,_value:double>").alias(n) for n in names), F.struct(*events.columns).alias("_event"),
+        *(nothing.alias(n) for n in names), F.struct(*events.columns).alias("_event"),
     )
     w = Window.partitionBy("_entity", "_off", "_month").orderBy("_t", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = sequence.unionByName(happened).select("_entity", "_off", "_month", "_tie", "_event", *(F.max(n).over(w).alias(n) for n in names)).where("_tie = 1")
 
-    # months of events and of attributes in one sequence of months: what the months before left
-    wanted = placed.where("_off is not null and _entity is not null").select("_entity", "_off", F.trunc("_time", "month").alias("_month")).distinct()
-    both = carried.withColumn("_tie", F.lit(1)).unionByName(
-        wanted.select("_entity", "_off", "_month", F.lit(0).alias("_tie"), *(F.lit(None).cast("struct<_day:date,_rank:int,_value:double>").alias(f"_to_{n}") for n in names))
-    )
+    # the months of events among the months of attributes: the best of all months before
+    wanted = placed.select("_entity", "_off", F.trunc("_time", "month").alias("_month")).distinct()
+    both = months.withColumn("_tie", F.lit(1)).unionByName(wanted.withColumns({"_tie": F.lit(0)} | {n: nothing for n in names}))
     last = Window.partitionBy("_entity", "_off").orderBy("_month", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    left = both.select("_entity", "_off", "_month", "_tie", *(F.max(f"_to_{n}").over(last).alias(f"_to_{n}") for n in names)).where("_tie = 0").drop("_tie")
-    joined = inside.join(left, ["_entity", "_off", "_month"], "left")
-    return joined.select("_event.*", *(F.greatest(n, f"_to_{n}").alias(n) for n in names)).select("_entity", "_date", "_time", *spare, *names)
+    left = both.select("_entity", "_off", "_month", "_tie", *(F.max(n).over(last).alias(f"_to_{n}") for n in names)).where("_tie = 0").drop("_tie")
+    joined = inside.join(left, ["_entity", "_off", "_month"], "left").select("_event.*", *(F.greatest(n, f"_to_{n}").alias(n) for n in names))
+    without = events.where(~whole).withColumns({n: nothing for n in names})
+    columns = ["_entity", "_date", "_time", *spare, *names]
+    return joined.select(columns).unionByName(without.select(columns))
