@@ -64,7 +64,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_events, p1_listed, p6_ids, p6_de
 _RUNS = r"""
 once as (select distinct on (game_id, event_num) * from raw_event where game_id is not null and event_num is not null order by game_id, event_num, received_ts),
 txt as (select game_id, period, 60 * minute_remaining_quarter + seconds_remaining_quarter as clock, event_num, event_type, nullif(player1_id, 0) as player,
-  event_action_type as a, upper(regexp_replace(concat_ws(' ', home_description, neutral_description, visitor_description), '\s+', ' ', 'g')) as t from once),
+  event_action_type as a, upper(regexp_replace(concat_ws(' ', home_description, neutral_description, visitor_description), '[\s\p{Z}]+', ' ', 'g')) as t from once),
 itm as (select *, case when event_type = 3 then case when t like '%TECHNICAL%' then 'TECHNICAL' when t like '%FLAGRANT%' then 'FLAGRANT'
     when regexp_matches(t, 'CLEAR\s*PATH') then 'CLEAR PATH' when regexp_matches(t, 'FREE\s*THROW') or a between 10 and 15 then 'ORDINARY' end
   when event_type = 6 then coalesce(nullif(regexp_extract(t, '(\S+)\.FOUL', 1), '') || regexp_extract(t, 'FOUL\.TYPE\s*(\d+)', 1), case when trim(t) = '' then case a when 1 then 'P' when 2 then 'S' when 3 then 'L.B' end end) end as kind,

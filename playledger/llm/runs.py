@@ -25,7 +25,7 @@ def link_items(events: DataFrame) -> DataFrame:
     """
     kind_of = F.col("event_type")
     ours = kind_of.isin(3, 6)
-    text = F.upper(F.regexp_replace(F.concat_ws(" ", "home_description", "neutral_description", "visitor_description"), r"\s+", " "))
+    text = F.upper(F.regexp_replace(F.concat_ws(" ", "home_description", "neutral_description", "visitor_description"), r"[\s\p{Z}]+", " "))
     base = events.select(
         "game_id",
         "period",
