@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..tables import table
-from . import packing, runs, tokenizer
+from . import encoding, packing, runs, tokenizer
 
 _EVENT = [
     "game_id", "event_num", "event_type", "event_action_type", "period", "minute_remaining_quarter", "seconds_remaining_quarter",
@@ -59,7 +59,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(placed, kinds, kind="kind_id", capacity="capacity_tokens")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p1_listed, p6_ids, p6_decoded, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.found(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p1_listed, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_restored)}
 
 _RUNS = r"""
 once as (select distinct on (game_id, event_num) * from raw_event where game_id is not null and event_num is not null order by game_id, event_num, received_ts),
