@@ -139,10 +139,10 @@ def encode_column(texts: DataFrame, text: str, ids: str, *, key: str, path: str
     """texts with ``ids`` ARRAY<INT>: the ids of ``text`` without special tokens.
 
     A null and an empty text give an empty list. Strings that look like special tokens are ordinary
-    text. ``key`` must be unique. If the corpus has at most ``most_words`` distinct words (counted,
+    text. Other columns stay; one named ``ids`` is replaced. If the corpus has at most ``most_words`` distinct words (counted,
     and their bytes summed, before anything is gathered), their ids become a second literal and
     texts are encoded where they lie, without a shuffle; beyond that, words are joined to their ids
-    and put together again by ``key``.
+    and put together again by ``key`` and text.
     """
     path = path or vocabulary_path()
     encoded = cut(distinct_words(texts, text, path))
@@ -158,9 +158,14 @@ def encode_column(texts: DataFrame, text: str, ids: str, *, key: str, path: str
             return F.get(F.filter(F.get(literal, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), lambda e: e["w"] == w), F.lit(0))["i"]
 
         return texts.withColumn(ids, F.flatten(F.transform(words(F.col(text)), of)))
-    placed = texts.select(F.col(key).alias("_key"), F.posexplode(words(F.col(text))).alias("_at", "word")).join(encoded, "word")
-    put = placed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_w")).select("_key", F.flatten(F.transform("_w", lambda x: x["ids"])).alias(ids))
-    return texts.join(put, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(ids, F.coalesce(ids, F.array().cast("array<int>")))
+    # rows of one key and text (repeats, or null keys) are one group with each word several times
+    group = [F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.length(text).alias("_length")]
+    placed = texts.select(*group, F.posexplode(words(F.col(text))).alias("_at", "word")).join(encoded, "word")
+    lists = placed.groupBy("_key", "_hash", "_length").agg(F.array_sort(F.collect_set(F.struct("_at", "ids"))).alias("_w"))
+    put = lists.select("_key", "_hash", "_length", F.flatten(F.transform("_w", lambda x: x["ids"])).alias("_ids"))
+    rows = texts.select(*group, F.struct(*(c for c in texts.columns if c != ids)).alias("_row"))
+    same = [rows[c].eqNullSafe(put[c]) for c in ("_key", "_hash", "_length")]
+    return rows.join(put, same, "left").select("_row.*", F.coalesce("_ids", F.array().cast("array<int>")).alias(ids))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
