@@ -113,10 +113,14 @@ def split_batch(text: pa.Array, chunk: int = CHUNK) -> tuple[pa.Array, pa.Array]
 
 
 def split_records(df: DataFrame, text: str) -> DataFrame:
-    """df with _fields ARRAY<STRING> and _error_offset BIGINT of the comma-separated column ``text``."""
+    """df with _fields ARRAY<STRING> and _error_offset BIGINT of the comma-separated column ``text``.
+
+    Columns of df with these names are left out; all others stay.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+    df = df.drop("_fields", "_error_offset")
     schema = StructType([*df.schema.fields]).add("_fields", ArrayType(StringType())).add("_error_offset", LongType())
     arrow = to_arrow_schema(schema)
 

@@ -184,9 +184,9 @@ def ewma_rank_age(t):
 select o_custkey, round(sum(o_totalprice * pow(0.5, datediff('day', o_orderdate::date, last) / 700.0)) / sum(pow(0.5, datediff('day', o_orderdate::date, last) / 700.0)), 3) as decayed_mean from d group by o_custkey""")
 def time_decay_weighted_mean(t):
     o = t("orders", "o_custkey", "o_totalprice", "o_orderdate").withColumn("d", F.to_date("o_orderdate"))
-    last = o.agg(F.max("d").alias("last"))  # one row
-    weight = F.pow(F.lit(0.5), F.datediff("last", "d") / 700.0)
-    return o.join(F.broadcast(last)).groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice") * weight) / F.sum(weight), 3).alias("decayed_mean"))
+    last = o.agg(F.max("d")).scalar()
+    weight = F.pow(F.lit(0.5), F.datediff(last, "d") / 700.0)
+    return o.groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice") * weight) / F.sum(weight), 3).alias("decayed_mean"))
 
 
 @query("""select user_id, count(*) as sessions, max(n)::bigint as longest from (
@@ -315,8 +315,7 @@ def theta_text_join(t):
 select l_orderkey, l_linenumber, round((s - l_discount + 20 * g) / (n - 1 + 20), 9) as estimate from s""")
 def loo_eb_one_level(t):
     li = t("lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_discount")
-    g = F.broadcast(li.agg(F.avg("l_discount").alias("g")))  # one row
-    return li.join(g).select("l_orderkey", "l_linenumber", F.round(windows.leave_one_out("l_discount", ["l_partkey"], F.col("g"), 20.0), 9).alias("estimate"))
+    return li.withColumn("g", li.agg(F.avg("l_discount")).scalar()).select("l_orderkey", "l_linenumber", F.round(windows.leave_one_out("l_discount", ["l_partkey"], F.col("g"), 20.0), 9).alias("estimate"))
 
 
 @query("""with a as (select *, avg(l_discount) over () as g from lineitem),
@@ -326,10 +325,10 @@ d as (select *, (sum(l_discount) over p - l_discount + 10 * e2) / (count(*) over
 select l_orderkey, l_linenumber, round(e3, 9) as estimate from d""")
 def loo_eb_nested3(t):
     li = t("lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_discount")
-    x = li.join(F.broadcast(li.agg(F.avg("l_discount").alias("g"))))
+    x = li.withColumn("g", li.agg(F.avg("l_discount")).scalar())
     # the widest level has few keys: its sums come from an aggregate, not from a window
     flag = li.groupBy("l_returnflag").agg(F.sum("l_discount").alias("fs"), F.count("l_discount").alias("fn"))
-    x = x.join(F.broadcast(flag), "l_returnflag").withColumn("e1", (F.col("fs") - F.col("l_discount") + 30 * F.col("g")) / (F.col("fn") - 1 + 30))
+    x = x.join(flag, "l_returnflag").withColumn("e1", (F.col("fs") - F.col("l_discount") + 30 * F.col("g")) / (F.col("fn") - 1 + 30))
     x = x.withColumn("e2", windows.leave_one_out("l_discount", ["l_returnflag", "l_suppkey"], F.col("e1"), 20.0))
     x = x.withColumn("e3", windows.leave_one_out("l_discount", ["l_returnflag", "l_suppkey", "l_linenumber"], F.col("e2"), 10.0))
     return x.select("l_orderkey", "l_linenumber", F.round("e3", 9).alias("estimate"))
@@ -434,8 +433,8 @@ def right_closed_bins(t):
 select p_partkey, (1 + (p_retailprice > q[1])::int + (p_retailprice > q[2])::int + (p_retailprice > q[3])::int) as quartile from part, q""")
 def quartile_bins(t):
     p = t("part", "p_partkey", "p_retailprice")
-    q = F.broadcast(p.agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))  # one row
-    return p.join(q).select("p_partkey", (1 + sum(((F.col("p_retailprice") > F.col("q")[k]).cast("int") for k in range(3)), F.lit(0))).alias("quartile"))
+    q = p.agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).scalar()
+    return p.withColumn("q", q).select("p_partkey", (1 + sum(((F.col("p_retailprice") > F.col("q")[k]).cast("int") for k in range(3)), F.lit(0))).alias("quartile"))
 
 
 @query("""select o_orderpriority, round(sum(o_totalprice) filter (where o_orderstatus = 'F') / sum(o_totalprice), 7) as share_f, count(*) filter (where o_totalprice > 150000) as large from orders group by 1""")
@@ -631,8 +630,7 @@ select fold, round((a.b - f.b) / (a.g - f.g + 10), 7) as ridge from f, a""")
 def fold_gram_difference(t):
     d = t("lineitem", "l_orderkey", "l_quantity", "l_extendedprice").select((F.col("l_orderkey") % 5).alias("fold"), (F.col("l_quantity") / 50).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     f = d.groupBy("fold").agg(F.sum(F.col("x") * F.col("x")).alias("g"), F.sum(F.col("x") * F.col("y")).alias("b"))
-    a = F.broadcast(f.agg(F.sum("g").alias("ga"), F.sum("b").alias("ba")))  # one row
-    return f.join(a).select("fold", F.round((F.col("ba") - F.col("b")) / (F.col("ga") - F.col("g") + 10), 7).alias("ridge"))
+    return f.withColumns({"ga": f.agg(F.sum("g")).scalar(), "ba": f.agg(F.sum("b")).scalar()}).select("fold", F.round((F.col("ba") - F.col("b")) / (F.col("ga") - F.col("g") + 10), 7).alias("ridge"))
 
 
 @query("""with q as (select vec_id, embedding from embeddings where vec_id % 100 = 0),
@@ -663,9 +661,8 @@ _WITH = "with o as (select l_orderkey, list(distinct l_suppkey) as players, sum(
 select l_suppkey as player, onn::bigint as on_poss, round(onp / onn, 3) as on_rate, round((tp - onp) / nullif(tn - onn, 0), 3) as off_rate from s, tot""")
 def wowy_on_off(t):
     o = t("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("players"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pts"), F.count("*").alias("poss"))
-    tot = F.broadcast(o.agg(F.sum("pts").alias("tp"), F.sum("poss").alias("tn")))  # one row
     s = o.select(F.explode("players").alias("player"), "pts", "poss").groupBy("player").agg(F.sum("pts").alias("onp"), F.sum("poss").alias("onn"))
-    return s.join(tot).select("player", F.col("onn").alias("on_poss"), F.round(F.col("onp") / F.col("onn"), 3).alias("on_rate"), F.round((F.col("tp") - F.col("onp")) / F.nullif(F.col("tn") - F.col("onn"), F.lit(0)), 3).alias("off_rate"))
+    return s.withColumns({"tp": o.agg(F.sum("pts")).scalar(), "tn": o.agg(F.sum("poss")).scalar()}).select("player", F.col("onn").alias("on_poss"), F.round(F.col("onp") / F.col("onn"), 3).alias("on_rate"), F.round((F.col("tp") - F.col("onp")) / F.nullif(F.col("tn") - F.col("onn"), F.lit(0)), 3).alias("off_rate"))
 
 
 @query(_WITH + " select count(*) as lineups, sum(poss)::bigint as poss, round(sum(pts) / sum(poss), 3) as rate from o where list_contains(players, 3) and not list_contains(players, 5) and len(players) >= 3")
