@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def says(text: Column, pattern: str) -> Column:
     """Whether the pattern occurs, in any letter case; never null."""
-    return F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}")
+    return F.coalesce(text, F.lit("")).rlike(f"(?iu){pattern}")
 
 
 def game_id(c: Column) -> Column:

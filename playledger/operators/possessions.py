@@ -27,9 +27,19 @@ LAST = r"\b(1 of 1|2 of 2|3 of 3)\b"
 LAST_FLAGRANT = "Flagrant (2 of 2|3 of 3)"
 DEFAULT_FT, DEFAULT_THREE = 0.75, 0.35
 
-GAME = Window.partitionBy("game_id").orderBy("period", F.desc("clock"), "event_num")
-SO_FAR = GAME.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = GAME.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def in_game():
+    """A game in the order of its clock."""
+    return Window.partitionBy("game_id").orderBy("period", F.desc("clock"), "event_num")
+
+
+def so_far():
+    return in_game().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before():
+    return in_game().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _any(conditions) -> Column:
@@ -77,10 +87,10 @@ def timeline(events: DataFrame, *, allow_partial: bool = False) -> DataFrame:
 
     scores = {}
     for c in ("home_score", "away_score"):
-        start = F.when((F.row_number().over(GAME) == 1) & F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
+        start = F.when((F.row_number().over(in_game()) == 1) & F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
         scores[c] = start
     rows = rows.withColumns(scores | {"points_h": points("h"), "points_a": points("a")})
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(SO_FAR) for c in ("home_score", "away_score")})
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far()) for c in ("home_score", "away_score")})
     margin = F.col("home_score") - F.col("away_score")
     return rows.withColumn("score_margin", F.when(margin == 0, "TIE").otherwise(margin.cast("int").cast("string")))
 
@@ -90,8 +100,8 @@ def terminals(rows: DataFrame) -> DataFrame:
     blank = F.lit("")
     near = {}
     for s in ("h", "a"):
-        near |= {f"p_{s}": F.coalesce(F.lag(f"t_{s}").over(GAME), blank), f"pp_{s}": F.coalesce(F.lag(f"t_{s}", 2).over(GAME), blank), f"n_{s}": F.coalesce(F.lead(f"t_{s}").over(GAME), blank)}
-    near |= {"n_type": F.lead("event_type").over(GAME), "p_seconds": F.lag("seconds_remaining_quarter").over(GAME)}
+        near |= {f"p_{s}": F.coalesce(F.lag(f"t_{s}").over(in_game()), blank), f"pp_{s}": F.coalesce(F.lag(f"t_{s}", 2).over(in_game()), blank), f"n_{s}": F.coalesce(F.lead(f"t_{s}").over(in_game()), blank)}
+    near |= {"n_type": F.lead("event_type").over(in_game()), "p_seconds": F.lag("seconds_remaining_quarter").over(in_game())}
     rows = rows.withColumns(near)
     kind = F.col("event_type")
     next_is = F.coalesce(F.col("n_type"), F.lit(-1))
@@ -156,12 +166,12 @@ def foul_lineups(rows: DataFrame) -> DataFrame:
     kind = F.col("event_type")
 
     def ahead(t: int) -> Column:
-        n = F.sum((kind == t).cast("int")).over(GAME.rowsBetween(0, 4))
-        return F.when(F.lead(F.lit(1), 4).over(GAME).isNull(), 0).otherwise(n)
+        n = F.sum((kind == t).cast("int")).over(in_game().rowsBetween(0, 4))
+        return F.when(F.lead(F.lit(1), 4).over(in_game()).isNull(), 0).otherwise(n)
 
     foul = (kind == FOUL) & (ahead(FREE_THROW) > 0) & (ahead(SUBSTITUTION) > 0) & ~F.col("t_a").rlike(quiet) & ~F.col("t_h").rlike(quiet)
     rows = rows.withColumns({"_foul": foul, "_stop": F.col("eop") | F.col("off_ft_reb")})
-    rows = rows.withColumn("_part", F.coalesce(F.sum(F.col("_stop").cast("int")).over(BEFORE), F.lit(0)))
+    rows = rows.withColumn("_part", F.coalesce(F.sum(F.col("_stop").cast("int")).over(before()), F.lit(0)))
     part = Window.partitionBy("game_id", "_part").orderBy("period", F.desc("clock"), "event_num")
     throws_after = F.sum((kind == FREE_THROW).cast("int")).over(part.rowsBetween(1, Window.unboundedFollowing))
     both = F.struct("l_h", "l_a")
@@ -169,7 +179,7 @@ def foul_lineups(rows: DataFrame) -> DataFrame:
     upto = part.rowsBetween(Window.unboundedPreceding, -1)
     held, at_foul = F.first("_from", ignorenulls=True).over(upto), F.first("_any", ignorenulls=True).over(upto)
     rows = rows.withColumns({"_held": F.when(~F.col("off_ft_reb") | F.col("eop"), held), "_changed": F.col("off_ft_reb") & ~F.col("eop") & at_foul.isNotNull() & (at_foul != both)})
-    rows = rows.withColumns({"l_h": F.coalesce("_held.l_h", "l_h"), "l_a": F.coalesce("_held.l_a", "l_a"), "eop": F.col("eop") | F.coalesce(F.lead("_changed").over(GAME), F.lit(False))})
+    rows = rows.withColumns({"l_h": F.coalesce("_held.l_h", "l_h"), "l_a": F.coalesce("_held.l_a", "l_a"), "eop": F.col("eop") | F.coalesce(F.lead("_changed").over(in_game()), F.lit(False))})
     return rows.drop("_foul", "_stop", "_part", "_from", "_any", "_held", "_changed")
 
 
@@ -181,7 +191,7 @@ def fill_lineups(rows: DataFrame) -> DataFrame:
         slots = []
         for i in range(5):
             slot = F.get(f"l_{s}", F.lit(i))
-            slots.append(F.when(slot > 0, slot).otherwise(F.coalesce(F.last(F.when(slot > 0, slot), ignorenulls=True).over(SO_FAR), F.lit(0))))
+            slots.append(F.when(slot > 0, slot).otherwise(F.coalesce(F.last(F.when(slot > 0, slot), ignorenulls=True).over(so_far()), F.lit(0))))
         out[f"l_{s}"] = F.when(few, F.array(*slots)).otherwise(F.col(f"l_{s}"))
     return rows.withColumns(out)
 
@@ -192,13 +202,13 @@ def possessions(rows: DataFrame) -> DataFrame:
     A possession's offense is that of its next row that tells it, else of the last one before; a
     terminal row still without it takes the other side of the period's terminal before.
     """
-    rows = rows.withColumn("poss", F.coalesce(F.sum(F.col("eop").cast("int")).over(BEFORE), F.lit(0)))
+    rows = rows.withColumn("poss", F.coalesce(F.sum(F.col("eop").cast("int")).over(before()), F.lit(0)))
     own = Window.partitionBy("game_id", "poss").orderBy("period", F.desc("clock"), "event_num")
     told = F.when(F.col("offense") != "", F.col("offense"))
     rows = rows.withColumn("_o", F.coalesce(F.first(told, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing)), F.last(told, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))))
     period = Window.partitionBy("game_id", "period").orderBy(F.desc("clock"), "event_num").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.col("eop") & F.col("_o").isNotNull(), F.col("_o")), ignorenulls=True).over(period)
-    turned = F.when(before == HOME, AWAY).when(before == AWAY, HOME)
+    last = F.last(F.when(F.col("eop") & F.col("_o").isNotNull(), F.col("_o")), ignorenulls=True).over(period)
+    turned = F.when(last == HOME, AWAY).when(last == AWAY, HOME)
     return rows.withColumn("poss_offense", F.coalesce("_o", F.when(F.col("eop"), turned), F.lit(""))).drop("_o")
 
 
@@ -261,8 +271,8 @@ def possession_table(rows: DataFrame, metrics: dict[str, Callable[[], Column]] =
     after_miss = F.coalesce(F.max((F.col("event_type") == MISS).cast("int")).over(own), F.lit(0))
     rows = rows.withColumns({f"_m_{k}": f() for k, f in metrics.items()} | {"_m_second_chance_points": F.when(after_miss == 1, F.col("points_h") + F.col("points_a")).otherwise(0)})
     names = [*metrics, "second_chance_points"]
-    rows = rows.withColumns({f"_m_{k}": F.sum(f"_m_{k}").over(SO_FAR) for k in names}).where("eop")
-    rows = rows.select("*", *((F.col(f"_m_{k}") - F.lag(f"_m_{k}", 1, 0).over(GAME)).cast("bigint").alias(k) for k in names))
+    rows = rows.withColumns({f"_m_{k}": F.sum(f"_m_{k}").over(so_far()) for k in names}).where("eop")
+    rows = rows.select("*", *((F.col(f"_m_{k}") - F.lag(f"_m_{k}", 1, 0).over(in_game())).cast("bigint").alias(k) for k in names))
     home = F.col("poss_offense") == HOME
     sides = {"O": F.when(home, F.col("l_h")).otherwise(F.col("l_a")), "D": F.when(home, F.col("l_a")).otherwise(F.col("l_h"))}
     return rows.withColumns(sides).select("game_id", "poss", "period", "clock", "event_num", "poss_offense", "O", "D", "home_score", "away_score", "score_margin", *names)

@@ -96,8 +96,8 @@ select lpad(game_id, 10, '0') as game_id, poss::bigint as poss, event_num, poss_
 def pbp_possessions(spark, sf_dir):
     """Possessions by the terminal rules alone (no change of terminals by foul lineups)."""
     rows = pos.possessions(_rows(spark, sf_dir))
-    e = rows.withColumn("total", F.sum(F.col("points_h") + F.col("points_a")).over(pos.SO_FAR)).where("eop")
-    return e.select("game_id", "poss", "event_num", "poss_offense", (F.col("total") - F.lag("total", 1, 0).over(pos.GAME)).cast("bigint").alias("points"))
+    e = rows.withColumn("total", F.sum(F.col("points_h") + F.col("points_a")).over(pos.so_far())).where("eop")
+    return e.select("game_id", "poss", "event_num", "poss_offense", (F.col("total") - F.lag("total", 1, 0).over(pos.in_game())).cast("bigint").alias("points"))
 
 
 _TEXT = "concat_ws(' ', t_h, t_a)"
