@@ -29,7 +29,7 @@ def pair_products(rows: DataFrame, features: str, weight: str, target: str) -> t
     return gram, right
 
 
-def ridge(rows: DataFrame, *, features: str, weight: str, target: str, alpha: float, prior: dict | None = None, free: Sequence = (), most: int = 20_000) -> dict:
+def ridge(rows: DataFrame, *, features: str, weight: str, target: str, alpha: float, prior: dict | None = None, free: Sequence = (), most: int = 6_000) -> dict:
     """Coefficients by feature of min sum w (y - x b)^2 + alpha |b - prior|^2; ``free`` has no penalty.
 
     At most ``most`` features: the dense matrix on the driver has most^2 numbers.
@@ -90,32 +90,49 @@ def kalman(panel: DataFrame, *, key: str, order: Sequence[str], value: str, expo
     return panel.select(key, *order, value, exposure, gap_days).groupBy(key).applyInPandas(one, schema)
 
 
-def blocks_topk(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """The k rows of ``vectors`` nearest to each query by cosine: query, neighbour, similarity.
+def blocks_topk(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int, block: int = 4096, most_queries: int = 100_000) -> DataFrame:
+    """The k rows of ``vectors`` nearest to each query by cosine: query, rank, neighbour, similarity.
 
-    A stated query set against all rows, in blocks: each partition keeps k per query of its own
-    rows, and one small aggregation merges them. Queries must fit a worker; ties go to the lower key.
+    A stated query set against all rows, in blocks: at most ``most_queries`` queries are held at a
+    time, further ones in further passes; each partition keeps k per query of its own rows, and a
+    small aggregation merges them. A row is not its own neighbour; ties go to the lower key. Rows
+    with a null key or vector are no neighbours and no queries; vectors have equal lengths.
     """
     spark = vectors.sparkSession
-    q = queries.select(F.col(key).cast("bigint").alias("q"), vector).where(F.col(vector).isNotNull()).toPandas()
-    held = spark.sparkContext.broadcast((q["q"].to_numpy(np.int64), np.stack(q[vector].to_numpy()).astype(np.float64) if len(q) else np.zeros((0, 1))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = held.value
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        for pdf in batches:
-            pdf = pdf[pdf[vector].notna()]
-            for a in range(0, len(pdf), block):
-                part = pdf.iloc[a : a + block]
-                x = np.stack(part[vector].to_numpy()).astype(np.float64)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                keys = part[key].to_numpy(np.int64)
-                s = np.round(m @ x.T, 9)
-                for row, qid in enumerate(ids):
-                    order = np.lexsort((keys, -s[row]))
-                    order = order[keys[order] != qid][:k]
-                    yield pd.DataFrame({"query": qid, "neighbour": keys[order], "similarity": s[row][order]})
-
-    found = vectors.select(F.col(key).cast("bigint").alias(key), vector).mapInPandas(run, "query bigint, neighbour bigint, similarity double")
+    rows = vectors.select(F.col(key).cast("bigint").alias(key), vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    asked = queries.select(F.col(key).cast("bigint").alias("q"), vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    passes = max(1, -(-asked.count() // most_queries))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def one_pass(part: DataFrame) -> DataFrame:
+        q = part.toPandas()
+        held = spark.sparkContext.broadcast((q["q"].to_numpy(np.int64), unit(np.stack(q[vector].to_numpy()).astype(np.float64)) if len(q) else None))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, m = held.value
+            for pdf in batches:
+                for a in range(0, len(pdf) if m is not None else 0, block):
+                    some = pdf.iloc[a : a + block]
+                    x, keys = unit(np.stack(some[vector].to_numpy()).astype(np.float64)), some[key].to_numpy(np.int64)
+                    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                    for start in range(0, len(ids), 1024):
+                        s = np.round(m[start : start + 1024] @ x.T, 9)
+                        for row, qid in enumerate(ids[start : start + 1024]):
+                            own = s[row]
+                            # all that could be among the best, ties of the last included
+                            cut = np.partition(own, len(own) - k - 1)[len(own) - k - 1] if len(own) > k + 1 else -2.0
+                            near = np.flatnonzero((own >= cut) & (keys != qid))
+                            near = near[np.lexsort((keys[near], -own[near]))][:k]
+                            found.append((np.full(len(near), qid), keys[near], own[near]))
+                    if found:
+                        yield pd.DataFrame(dict(zip(("query", "neighbour", "similarity"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+        return rows.mapInPandas(run, "query bigint, neighbour bigint, similarity double")
+
+    found = one_pass(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == 0))
+    for n in range(1, passes):
+        found = found.unionByName(one_pass(asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == n)))
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k).alias("_b"))
     return best.select("query", F.posexplode("_b").alias("rank", "_x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("_x.n").alias("neighbour"), (-F.col("_x.s")).alias("similarity"))

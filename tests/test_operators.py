@@ -134,3 +134,36 @@ def test_text_builders(spark):
     assert [r.g for r in got] == ["0022500001", "0022500001", "12345678901", None]
     assert [r.n for r in got] == ["elan d are zic", "", None, "a"] and [r.s for r in got] == [True, False, False, False]
     assert df.select(tx.season_label(F.lit(2026)).alias("s"), tx.four_digit_year(F.lit(97)).alias("y")).first() == ("2025-26", 1997)
+
+
+@pytest.mark.parametrize("most", [100, 3])
+def test_nearest_in_blocks_equals_brute_force(spark, most):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    x[40:50] = x[0]  # ties and repeated rows
+    rows = [(i, [float(v) for v in x[i]], "z") for i in range(90)] + [(None, [1.0] * 4, "z"), (500, None, "z")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, query string").repartition(3)
+    got = estimate.blocks_topk(df, df.where("id % 10 = 0"), key="id", vector="v", k=5, block=16, most_queries=most).collect()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {}
+    for q in range(0, 90, 10):
+        s = np.round(u @ u[q], 9)
+        want[q] = [j for j in np.lexsort((np.arange(90), -s)) if j != q][:5]
+    have = {}
+    for r in sorted(got, key=lambda r: (r.query, r.rank)):
+        have.setdefault(r.query, []).append(r.neighbour)
+    assert have == want
+
+
+def test_model_operators(spark):
+    from playledger.operators import models
+
+    df = spark.createDataFrame([("t", "a", 30.0, 20.0), ("t", "b", 10.0, 42.0), ("t", "c", None, 42.0)], "t string, p string, w double, c double")
+    got = {r.p: round(r.share, 6) for r in models.capped_shares(df, "t", "p", "w", "c", 50.0).collect()}
+    assert got == {"a": 20.0, "b": 30.0, "c": 0.0}
+    assert models.series_win_probability(0.5, 0.5) == pytest.approx(0.5) and models.series_win_probability(1.0, 1.0) == 1.0
+    t = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, None)], "i int, p double")
+    q = {r.i: r.q and round(r.q, 6) for r in models.benjamini_hochberg(t, "p").collect()}
+    assert q == {1: 0.03, 2: 0.04, 3: 0.04, 4: None}
+    b = spark.createDataFrame([(i, float(i)) for i in range(10)], "i int, v double")
+    assert sorted(r.bin for r in models.quantile_bins(b, "v", ["i"], 4).collect()) == [1, 1, 1, 2, 2, 3, 3, 4, 4, 4]
