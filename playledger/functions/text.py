@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def says(text: Column, pattern: str) -> Column:
-    """Whether the pattern occurs, in any letter case; never null."""
-    return F.coalesce(text, F.lit("")).rlike(f"(?iu){pattern}")
+    """Whether the pattern occurs, in any letter case; never null.
+
+    Plain words are looked for without a regular expression; several tests of one text in one
+    projection share its lower-case form.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    if re.fullmatch(r"[A-Za-z0-9 ]+", pattern):
+        return F.contains(F.lower(plain), F.lit(pattern.lower()))
+    if re.search(r"\\[A-Z]", pattern):
+        return plain.rlike(f"(?iu){pattern}")
+    return F.lower(plain).rlike(pattern.lower())
 
 
 def game_id(c: Column) -> Column:

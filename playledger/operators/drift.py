@@ -134,6 +134,8 @@ def lineages(spans: DataFrame, renamed: DataFrame) -> DataFrame:
     """spans with canonical: the first name of the chain of renamings that a lifespan belongs to.
 
     Chains are shortened by pointer doubling, so the rounds grow with the logarithm of the longest.
+    A chain that begins while another of that name goes on (the name was given up by a renaming and
+    used anew) is told apart by the number of its first file.
     """
     node = spans.select("stream_id", "field", "first_seq", "last_seq", "files")
     edge = renamed.alias("r").join(node.alias("n"), F.expr("r.stream_id = n.stream_id and r.old_field = n.field and n.last_seq = r.seq - 1"))
@@ -145,7 +147,12 @@ def lineages(spans: DataFrame, renamed: DataFrame) -> DataFrame:
         if links.where("_moved").isEmpty():
             break
         links = links.drop("_moved")
-    return node.join(links.drop("_moved"), ["stream_id", "field", "first_seq"], "left").select("stream_id", "field", "first_seq", "last_seq", "files", F.coalesce("_to", "field").alias("canonical"), F.coalesce("_to_seq", "first_seq").alias("origin_seq"))
+    named = node.join(links.drop("_moved"), ["stream_id", "field", "first_seq"], "left").select("stream_id", "field", "first_seq", "last_seq", "files", F.coalesce("_to", "field").alias("canonical"), F.coalesce("_to_seq", "first_seq").alias("origin_seq"))
+    ends = named.groupBy("stream_id", "canonical", "origin_seq").agg(F.max("last_seq").alias("_end"))
+    before = F.max("_end").over(Window.partitionBy("stream_id", "canonical").orderBy("origin_seq").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.when(before >= F.col("origin_seq"), F.concat("canonical", F.lit("#"), F.col("origin_seq").cast("string"))).otherwise(F.col("canonical"))
+    lanes = ends.select("stream_id", "canonical", "origin_seq", own.alias("_lane"))
+    return named.join(lanes, ["stream_id", "canonical", "origin_seq"]).select("stream_id", "field", "first_seq", "last_seq", "files", F.col("_lane").alias("canonical"), "origin_seq")
 
 
 class Drift:

@@ -91,6 +91,17 @@ def test_odd_payloads_and_chain_of_names(spark):
     assert {c for c, _ in drift.columns()} == {"a", "player_id", "requested_date"}
 
 
+def test_a_name_that_is_used_anew(spark):
+    def rec(n, **fields):
+        return json.dumps({"player_id": n, "requested_date": "2025-01-01"} | fields)
+
+    rows = rows_of(spark, [(1, [rec(1, a=5), rec(2, a=6)]), (2, [rec(1, b=5), rec(2, b=6)]), (3, [rec(1, b=5, a=1), rec(3, b=7, a=2)]), (4, [rec(1, b=5), rec(4)])])
+    drift = Drift(rows)
+    assert {tuple(r) for r in drift.changes().collect()} == {(2, "renamed", "a", "b"), (3, "added", "", "a"), (4, "removed", "a", "")}
+    got = {(r.file_id, r.row_no): (r.a, r["a#3"]) for r in drift.unified().collect()}
+    assert got[(1, 0)] == (5, None) and got[(2, 1)] == (6, None) and got[(3, 0)] == (5, 1) and got[(4, 1)] == (None, None)
+
+
 def test_empty_table(spark):
     drift = Drift(rows_of(spark, []))
     assert drift.changes().count() == 0
