@@ -5,19 +5,20 @@ the type of most of its values. Within a stream's field, files in sequence form
 island's first file logs a start, the file after its last one logs an ending. A start and an
 ending of one file under which the records delivered in both files hold the same values are one
 renaming. Renamings form the alias table, and from it come the casts that bring all files into one
-table. Only the catalogue and the records of files with a possible renaming are ever shuffled.
+table without losing a value. Records are parsed once; only the catalogue and the records of files
+with a possible renaming are ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from ..tables import broadcast_if_fits
 
+#: the form of a number in a string
+NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
 KINDS = ("integer", "decimal", "string", "object", "array", "boolean")
 
 
@@ -36,43 +37,84 @@ def value_kind(value: Column) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """stream_id, file_id, delivered_ts, row_no, record_kind, _m MAP<STRING, VARIANT>.
+    """stream_id, file_id, delivered_ts, row_no, record_kind, _key, _f MAP<STRING, STRUCT<k, t>>.
 
-    A payload that is null, is no JSON object or repeats a key has a null map: it has no fields.
+    Each payload is parsed once: k is the kind of a field's value, t its text, a string's without
+    quotes, anything else's as JSON; both are null for a JSON null. A payload that is null, is no JSON object or repeats a key has a null map: it has no
+    fields. _key is player_id with game_id or, where that is absent, requested_date; null if either is
+    missing.
     """
-    return rows.select(
+    parsed = rows.select(
         "stream_id", "file_id", "delivered_ts", "row_no", "record_kind",
         F.expr("try_cast(try_parse_json(payload) as map<string, variant>)").alias("_m"),
     )
+    told = F.transform_values("_m", lambda _, v: F.struct(value_kind(v).alias("k"), F.when(~F.is_variant_null(v), v.cast("string")).alias("t")))
 
+    def text(name: str) -> Column:
+        return F.get(F.array(F.col("_f")[name]["t"]), F.lit(0))
 
-def record_key(m: Column) -> Column:
-    """player_id with game_id or, where that is absent, requested_date; null if either is missing."""
+    key = F.concat(text("player_id"), F.lit("\x1f"), F.coalesce(text("game_id"), text("requested_date")))
+    return parsed.withColumn("_f", told).select("stream_id", "file_id", "delivered_ts", "row_no", "record_kind", key.alias("_key"), "_f")
+
+
+def reading(kind: Column, text: Column) -> Column:
+    """The number that a value can be read as, as text, or null.
+
+    Integers and decimals are read as they are, a string that is a number in its usual form (no blanks,
+    no leading zeros) as that, an object as its ``value`` and an array as its only element, if that is
+    a number or such a string.
+    """
+    inner = F.when(kind == "object", F.get_json_object(text, "$.value")).when(kind == "array", F.regexp_extract(text, r'^\["?([^,"\[\]{}]*)"?\]$', 1)).when(kind == "string", text)
+    return F.when(kind.isin("integer", "decimal"), text).when(inner.rlike(NUMBER), inner)
+
+
+def whole(kind: Column, text: Column) -> Column:
+    """Whether a value's reading tells all of it: an object's does if it has no further member."""
+    return (kind != "object") | text.rlike(r'^\{"value":[^,{}\[\]]*\}$')
+
+
+def exact(number: Column) -> Column:
+    """Whether the number is the same as a DOUBLE: short enough, or what the DOUBLE is written as."""
+    digits = F.length(F.regexp_replace(F.regexp_replace(number, r"[eE].*$|[^0-9]", ""), "^0+", ""))
+    return (F.length(number) <= 15) | (digits <= 15) | (number.cast("double").cast("string") == number)
 
-    def text(name: str) -> Column:
-        return F.get(F.array(m[name]), F.lit(0)).cast("string")
 
-    return F.concat(text("player_id"), F.lit("\x1f"), F.coalesce(text("game_id"), text("requested_date")))
+def fits_long(kind: Column, number: Column) -> Column:
+    """Whether the number, of a value of that kind, is told by a BIGINT: written without a point, and not too long."""
+    return (kind != "decimal") & ((kind == "integer") | number.rlike("^-?[0-9]+$")) & ((F.length(number) <= 18) | number.try_cast("bigint").isNotNull())
 
 
 def catalogue(parsed: DataFrame) -> DataFrame:
-    """One row per file and field: stream_id, file_id, field, kind (null if null throughout), seq, files.
+    """One row per file and field: stream_id, file_id, field, kind (null if null throughout), seq, files,
+    and what the columns' types need: n (values), n_fraction (readings that no BIGINT holds), n_text
+    (strings), n_truth (booleans), n_partial (values that a number does not tell exactly and wholly).
 
     seq is the file's place in its stream by (delivered_ts, file_id), files the stream's number of
     files. A tie of kinds goes to the first in KINDS. Files without a single readable record have
     one row with a null field, so that they keep their place.
     """
-    exploded = parsed.select("stream_id", "file_id", "delivered_ts", F.explode_outer("_m").alias("field", "_v"))
-    kind = value_kind(F.col("_v"))
-    votes = exploded.withColumn("_kind", kind).groupBy("stream_id", "file_id", "field").agg(F.min("delivered_ts").alias("delivered_ts"), *(F.count_if(F.col("_kind") == k).alias(f"_n_{k}") for k in KINDS))
+    exploded = parsed.select("stream_id", "file_id", "delivered_ts", F.explode_outer("_f").alias("field", "_v"))
+    kind, text = F.col("_v.k"), F.col("_v.t")
+    typed = exploded.select("stream_id", "file_id", "delivered_ts", "field", kind.alias("_k"), text.alias("_t"), reading(kind, text).alias("_r"))
+    loose = F.col("_r").isNull() | ~whole(F.col("_k"), F.col("_t")) | ~F.coalesce(exact(F.col("_r")), F.lit(False))
+    votes = typed.groupBy("stream_id", "file_id", "field").agg(
+        F.min("delivered_ts").alias("delivered_ts"),
+        *(F.count_if(F.col("_k") == k).alias(f"_n_{k}") for k in KINDS),
+        F.count("_t").alias("n"),
+        F.count_if(F.col("_r").isNotNull() & ~fits_long(F.col("_k"), F.col("_r"))).alias("n_fraction"),
+        F.count_if(F.col("_t").isNotNull() & loose).alias("n_partial"),
+    )
     best = F.greatest(*(F.struct(F.col(f"_n_{k}").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(KINDS)))
-    fields = votes.select("stream_id", "file_id", "delivered_ts", "field", F.when(best["n"] > 0, best["k"]).alias("kind"))
+    fields = votes.select(
+        "stream_id", "file_id", "delivered_ts", "field", F.when(best["n"] > 0, best["k"]).alias("kind"),
+        "n", "n_fraction", F.col("_n_string").alias("n_text"), F.col("_n_boolean").alias("n_truth"), "n_partial",
+    )
     # a file's time is the least of all its rows; a null field beside others is a row without fields
     w = Window.partitionBy("stream_id", "file_id")
     fields = fields.withColumns({"delivered_ts": F.min("delivered_ts").over(w), "_any": F.count("field").over(w)}).where("field is not null or _any = 0").drop("_any")
     places = Window.partitionBy("stream_id").orderBy(F.col("delivered_ts").asc_nulls_first(), "file_id")
     seq = F.dense_rank().over(places)
-    return fields.withColumn("seq", seq).withColumn("files", F.max("seq").over(Window.partitionBy("stream_id"))).select("stream_id", "file_id", "field", "kind", "seq", "files")
+    return fields.withColumn("seq", seq).withColumn("files", F.max("seq").over(Window.partitionBy("stream_id"))).drop("delivered_ts")
 
 
 def lifespans(cat: DataFrame) -> DataFrame:
@@ -95,23 +137,21 @@ def aliases(parsed: DataFrame, cat: DataFrame, spans: DataFrame) -> DataFrame:
     """
     gone = spans.where("last_seq < files").select("stream_id", (F.col("last_seq") + 1).alias("seq"), F.col("field").alias("old_field"))
     come = spans.where("first_seq > 1").select("stream_id", F.col("first_seq").alias("seq"), F.col("field").alias("new_field"))
-    kinds = cat.select("stream_id", "file_id", "seq", "field", "kind")
-    both = gone.join(come.select("stream_id", "seq").distinct(), ["stream_id", "seq"], "left_semi")
-    fresh = come.join(gone.select("stream_id", "seq").distinct(), ["stream_id", "seq"], "left_semi")
-    before = both.alias("g").join(kinds.alias("k"), F.expr("g.stream_id = k.stream_id and g.seq = k.seq + 1 and g.old_field = k.field")).groupBy("k.file_id", "g.stream_id", "g.seq").agg(F.collect_list(F.struct("old_field", "kind")).alias("_names"))
-    after = fresh.alias("c").join(kinds.alias("k"), F.expr("c.stream_id = k.stream_id and c.seq = k.seq and c.new_field = k.field")).groupBy("k.file_id", "c.stream_id", "c.seq").agg(F.collect_list(F.struct("new_field", "kind")).alias("_names"))
-
-    def values(of: DataFrame, name: str, side: str) -> DataFrame:
-        """For each record of the listed files and each listed field its value, or null."""
-        found = parsed.where("_m is not null").join(broadcast_if_fits(of, 100_000), ["stream_id", "file_id"]).select("stream_id", "seq", record_key(F.col("_m")).alias("_key"), "_m", F.explode("_names").alias("_n"))
-        v = F.get(F.array(F.col("_m")[F.col("_n")[name]]), F.lit(0))
-        there = v.isNotNull() & ~F.expr("is_variant_null(_v)")
-        return found.where("_key is not null").withColumn("_v", v).select(
-            "stream_id", "seq", "_key", F.col("_n")[name].alias(name),
-            F.when(there, F.to_json("_v")).alias(f"{side}_text"), (there & (value_kind(F.col("_v")) != F.col("_n.kind"))).alias(f"{side}_stray"),
-        )
-
-    pairs = values(before, "old_field", "old").join(values(after, "new_field", "new"), ["stream_id", "seq", "_key"])
+    # per file the fields that went after it (side 0) or came with it (side 1), where both happened at once
+    ends = gone.select("stream_id", "seq", F.lit(0).alias("_side"), F.col("old_field").alias("field"))
+    starts = come.select("stream_id", "seq", F.lit(1).alias("_side"), F.col("new_field").alias("field"))
+    both = Window.partitionBy("stream_id", "seq")
+    asked = ends.unionByName(starts).withColumns({"_least": F.min("_side").over(both), "_most": F.max("_side").over(both)}).where("_least < _most")
+    at = F.expr("a.stream_id = k.stream_id and a.field = k.field and a.seq + a._side - 1 = k.seq")
+    named = asked.alias("a").join(cat.alias("k"), at).select("k.file_id", "a.stream_id", "a.seq", "a._side", "a.field", "k.kind")
+    listed = cut(named.groupBy("stream_id", "file_id").agg(F.collect_list(F.struct("seq", "_side", "field", "kind")).alias("_names")))
+    # one pass over the records of the listed files: each listed field's value, or null
+    found = parsed.where("_f is not null and _key is not null").join(broadcast_if_fits(listed, 100_000), ["stream_id", "file_id"]).select("stream_id", "_key", "_f", F.explode("_names").alias("_n"))
+    v = F.get(F.array(F.col("_f")[F.col("_n.field")]), F.lit(0))
+    values = found.select("stream_id", "_key", F.col("_n.seq").alias("seq"), F.col("_n._side").alias("_side"), F.col("_n.field").alias("field"), v["t"].alias("text"), (v["k"] != F.col("_n.kind")).alias("stray"))
+    old = values.where("_side = 0").select("stream_id", "seq", "_key", F.col("field").alias("old_field"), F.col("text").alias("old_text"), F.col("stray").alias("old_stray"))
+    new = values.where("_side = 1").select("stream_id", "seq", "_key", F.col("field").alias("new_field"), F.col("text").alias("new_text"), F.col("stray").alias("new_stray"))
+    pairs = old.join(new, ["stream_id", "seq", "_key"])
     aside = F.coalesce(F.col("old_stray"), F.lit(False)) | F.coalesce(F.col("new_stray"), F.lit(False))
     same = pairs.groupBy("stream_id", "seq", "old_field", "new_field").agg(
         F.count_if(~aside & ~F.col("old_text").eqNullSafe(F.col("new_text"))).alias("_unlike"),
@@ -156,19 +196,23 @@ def lineages(spans: DataFrame, renamed: DataFrame) -> DataFrame:
 
 
 class Drift:
-    """The catalogue of a set of streams, and what follows from it."""
+    """The catalogue of a set of streams, and what follows from it.
+
+    The records are parsed once, into a table in the shared folder; the catalogue and all that is made
+    from it have a row per file and field at most.
+    """
 
     def __init__(self, rows: DataFrame):
-        self.parsed = records(rows)
-        self.cat = cut(catalogue(self.parsed))  # per-file metadata; a row per file and field
-        self.spans = lifespans(self.cat)
+        self.parsed = written(records(rows))
+        self.cat = cut(catalogue(self.parsed))
+        self.spans = cut(lifespans(self.cat))
         self.renamed = cut(aliases(self.parsed, self.cat, self.spans))
-        self.lines = lineages(self.spans, self.renamed)
+        self.lines = cut(lineages(self.spans, self.renamed))
 
     def named(self) -> DataFrame:
         """The catalogue with each field's canonical name and origin, and its kind carried over null files."""
         inside = F.expr("c.stream_id = l.stream_id and c.field = l.field and c.seq between l.first_seq and l.last_seq")
-        rows = self.cat.alias("c").join(self.lines.alias("l"), inside).select("c.stream_id", "c.file_id", "c.field", "c.kind", "c.seq", "l.first_seq", "l.canonical", "l.origin_seq")
+        rows = self.cat.alias("c").join(self.lines.alias("l"), inside).select("c.*", "l.first_seq", "l.canonical", "l.origin_seq")
         w = Window.partitionBy("stream_id", "canonical", "origin_seq").orderBy("seq")
         return rows.withColumn("carried", F.last("kind", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_earlier", F.lag("carried").over(w))
 
@@ -185,50 +229,97 @@ class Drift:
         log = starts.select(columns).unionByName(ends.select(columns)).unionByName(renames.select(columns)).unionByName(retypes.select(columns))
         return log.join(files, ["stream_id", "seq"]).select("file_id", "change_kind", "old_field", "new_field")
 
-    def columns(self, most: int = 2000) -> list[tuple[str, str]]:
-        """(canonical name, Spark type) of the one table's columns, by name; at most ``most``.
+    def columns(self) -> list[tuple[str, str, bool]]:
+        """(canonical name, Spark type, whether a raw column goes with it) of the one table, by name.
+
+        A column is numeric if it is integer or decimal in any file: BIGINT if every number read in it
+        fits one and none is written with a point, else DOUBLE. Otherwise it is BOOLEAN if it was
+        nothing but boolean, or STRING. A raw column is needed where some value is not wholly and
+        exactly told by that type. A table's columns have to fit its schema, so they are gathered
+        whatever their number; there is no bound but Spark's own.
+        """
+        sums = [F.sum(c).alias(c) for c in ("n", "n_fraction", "n_text", "n_truth", "n_partial")]
+        seen = self.named().groupBy("canonical").agg(F.max(F.coalesce(F.col("kind").isin("integer", "decimal"), F.lit(False))).alias("numeric"), *sums)
+        out = []
+        for r in seen.toLocalIterator():
+            if r.numeric:
+                out.append((r.canonical, "double" if r.n_fraction else "bigint", r.n_partial > 0))
+            elif r.n_truth == r.n > 0:
+                out.append((r.canonical, "boolean", False))
+            else:
+                out.append((r.canonical, "string", r.n_text < r.n))
+        return sorted(out)
+
+    def placed(self) -> list[tuple[str, str, str, str | None]]:
+        """(canonical name, type, column, raw column or None): names made different, letter case aside.
 
-        A column is DOUBLE if it was ever integer or decimal, else BOOLEAN or STRING by what it was.
-        BIGINT is kept for columns that were never decimal.
+        A name that another one or one of the table's own columns has taken gets a number as suffix.
         """
-        seen = self.named().groupBy("canonical").agg(F.collect_set("kind").alias("kinds")).limit(most + 1).collect()
-        if len(seen) > most:
-            raise ValueError(f"more than {most} columns")
+        used = {"stream_id", "file_id", "row_no", "record_kind", "delivered_ts"}
 
-        def kind(kinds: Sequence[str]) -> str:
-            if "decimal" in kinds:
-                return "double"
-            if "integer" in kinds:
-                return "bigint"
-            return "boolean" if set(kinds) == {"boolean"} else "string"
+        def free(name: str) -> str:
+            at, k = name, 1
+            while at.lower() in used:
+                k += 1
+                at = f"{name}_{k}"
+            used.add(at.lower())
+            return at
 
-        return sorted((r.canonical, kind(r.kinds)) for r in seen)
+        out = [(name, kind, free(name), raw) for name, kind, raw in self.columns()]
+        return [(name, kind, column, free(f"{column}__raw") if raw else None) for name, kind, column, raw in out]
 
     def unified(self) -> DataFrame:
-        """All records in one table: stream, file, row and one typed column per canonical name.
+        """All records in one table: stream, file, row and, per canonical name, a typed column.
 
-        Numeric columns take numbers as they are, the number in a string, the ``value`` of an
-        object and the only element of an array; anything else is null there, as are left-out
-        values. Rows whose payload cannot be read are kept, with nulls. Canonical names that
-        differ from another only in letter case get their place among these as suffix.
+        No value is lost or altered: each that is not null in a payload stands in its canonical column
+        ``x``, or as JSON text in ``x__raw`` if that column's type cannot tell it. An object with a
+        ``value`` beside other members has its number in ``x`` and its whole text in ``x__raw``. Rows
+        whose payload cannot be read are kept, with nulls.
         """
-        names = self.named().groupBy("stream_id", "file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "canonical"))).alias("_names"))
-        columns = self.columns()
+        columns = self.placed()
+        own = ["stream_id", "file_id", "row_no", "record_kind", "delivered_ts"]
+        if not columns:
+            return self.parsed.select(own)
+        places = F.create_map(*(x for i, (name, kind, _, _) in enumerate(columns) for x in (F.lit(name), F.struct(F.lit(i).alias("i"), F.lit(kind).alias("to")))))
+        placed = self.named().select("stream_id", "file_id", F.struct("field", places[F.col("canonical")].alias("at")).alias("_n"))
+        names = placed.groupBy("stream_id", "file_id").agg(F.map_from_entries(F.collect_list("_n")).alias("_names"))
         rows = self.parsed.join(names, ["stream_id", "file_id"], "left")
-        renamed = rows.withColumn("_r", F.expr("transform_keys(_m, (k, v) -> coalesce(_names[k], k))"))
-        out, used = [], {"stream_id": 1, "file_id": 1, "row_no": 1, "record_kind": 1, "delivered_ts": 1}
-        for name, kind in columns:
-            lower = name.lower()
-            used[lower] = used.get(lower, 0) + 1
-            alias = name if used[lower] == 1 else f"{name}_{used[lower]}"
-            v = F.get(F.array(F.col("_r")[name]), F.lit(0))
-            t = value_kind(v)
-            if kind == "string":
-                c = F.when(t == "string", v.cast("string")).when(t.isNotNull(), F.to_json(v))
-            elif kind == "boolean":
-                c = F.when(t == "boolean", v.cast("boolean"))
-            else:
-                number = F.when(t.isin("integer", "decimal", "string"), F.coalesce(F.to_json(v), F.lit(""))).when(t == "object", F.get_json_object(F.to_json(v), "$.value")).when(t == "array", F.regexp_extract(F.to_json(v), r"^\[([^,\[\]]*)\]$", 1))
-                c = F.trim(F.regexp_replace(number, '"', "")).try_cast(kind if kind == "double" else "decimal(38,6)").try_cast(kind)
-            out.append(c.alias(alias))
-        return renamed.select("stream_id", "file_id", "row_no", "record_kind", "delivered_ts", *out)
+
+        # a record's own values are read, and then put in the columns' places: neither the work on values
+        # nor the code grows with the number of columns
+        def placing(e: Column) -> Column:
+            return F.struct(F.col("_names")[e["key"]].alias("at"), e["value"]["k"].alias("k"), e["value"]["t"].alias("t"))
+
+        def read(v: Column) -> Column:
+            return F.struct(v["at"]["i"].alias("i"), v["at"]["to"].alias("to"), v["k"].alias("k"), v["t"].alias("t"), F.when(v["at"]["to"].isin("bigint", "double"), reading(v["k"], v["t"])).alias("n"))
+
+        def told(v: Column) -> Column:
+            n = v["n"]
+            holds = F.when(v["to"] == "bigint", fits_long(v["k"], n)).when(v["to"] == "double", exact(n)).when(v["to"] == "string", v["k"] == "string").otherwise(v["k"] == "boolean")
+            fits = F.coalesce(holds, F.lit(False))
+            quoted = F.when(v["k"] == "string", F.regexp_replace(F.to_json(F.array(v["t"])), r"^\[|\]$", "")).otherwise(v["t"])
+            return F.struct(v["i"].alias("i"), F.struct(F.when(fits, F.coalesce(n, v["t"])).alias("x"), F.when(~fits | ~whole(v["k"], v["t"]), quoted).alias("raw")).alias("cell"))
+
+        held = F.filter(F.map_entries("_f"), lambda e: e["value"]["t"].isNotNull())
+        by_place = F.map_from_entries(F.transform(F.transform(F.transform(held, placing), read), told))
+        cells = rows.select(*own, F.get(F.transform(F.array(by_place), lambda m: F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: m[i])), F.lit(0)).alias("_c"))
+        out = []
+        for i, (_, kind, column, raw) in enumerate(columns):
+            cell = F.get("_c", F.lit(i))
+            out.append(cell["x"].cast(kind).alias(column))
+            if raw:
+                out.append(cell["raw"].alias(raw))
+        return cells.select(*own, *out)
+
+    def cells(self) -> DataFrame:
+        """The one table's cells: stream_id, file_id, row_no, field (canonical), number, text, raw; one
+        row per value that is not null, however many columns it takes. Truth values come as text."""
+        parts = []
+        for name, kind, column, raw in self.placed():
+            at, none = F.col(f"`{column}`"), F.lit(None)
+            number = at.cast("double") if kind in ("bigint", "double") else none.cast("double")
+            text = at.cast("string") if kind not in ("bigint", "double") else none.cast("string")
+            parts.append(F.struct(F.lit(name).alias("field"), number.alias("number"), text.alias("text"), (F.col(f"`{raw}`") if raw else none.cast("string")).alias("raw")))
+        table = self.unified()
+        each = F.array(*parts) if parts else F.array().cast("array<struct<field:string,number:double,text:string,raw:string>>")
+        return table.select("stream_id", "file_id", "row_no", F.explode(each).alias("_c")).select("stream_id", "file_id", "row_no", "_c.*").where("number is not null or text is not null or raw is not null")

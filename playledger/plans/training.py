@@ -25,6 +25,11 @@ def p2_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.lines.select("stream_id", "field", "canonical", "first_seq", "last_seq", "files")
 
 
+def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of p2_table, one row per value: what the table holds of each payload."""
+    return Drift(table(spark, sf_dir, "skill_file_row")).cells()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "epm_snapshot", ["requested_date", "player_id", "delivery_no", "row_no", "oepm", "depm"])
     found = snapshot_changes(rows, snapshot="requested_date", key="player_id", delivery="delivery_no", order="row_no", compare=["oepm", "depm"])
@@ -106,7 +111,7 @@ def p5_free_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_rows(_feed(spark, sf_dir), "free_throw", ["line_id"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_catalogue, p3_found, p4_found, p4_ratings, p5_found, p5_rejected, p5_substitutions, p5_games, p5_free_throws)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_catalogue, p2_cells, p3_found, p4_found, p4_ratings, p5_found, p5_rejected, p5_substitutions, p5_games, p5_free_throws)}
 
 _GAMES = """
 g as (select lpad(regexp_replace(trim(game_id), '\\.0$', ''), 10, '0') as game_id, game_date, tipoff_utc, updated_ts from game_metadata),
@@ -151,7 +156,70 @@ r as (select line_id, case when not regexp_matches(t, '^{_FIELD}(,{_FIELD})*$',
 select line_id, reason from r where reason is not null"""
 
 
-SQL = {
+_DRIFT = r"""
+kv as (select stream_id, file_id, row_no, j.key as field, j.value as v, j.type as jt,
+         json_extract_string(payload, '$.player_id') || chr(31) || coalesce(json_extract_string(payload, '$.game_id'), json_extract_string(payload, '$.requested_date')) as rk
+       from skill_file_row, json_each(case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload else '{}' end) j),
+typed as (select stream_id, file_id, row_no, field, rk, v::varchar as v,
+         case when jt in ('UBIGINT', 'BIGINT', 'HUGEINT') then 'integer' when jt = 'DOUBLE' then 'decimal' when jt = 'VARCHAR' then 'string' when jt in ('OBJECT', 'ARRAY', 'BOOLEAN') then lower(jt) end as k,
+         case when jt in ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') then v::double::varchar when jt != 'NULL' then v::varchar end as t from kv),
+files as (select stream_id, file_id, dense_rank() over (partition by stream_id order by min(delivered_ts) nulls first, file_id) as seq from skill_file_row group by stream_id, file_id),
+last_seq as (select stream_id, max(seq) as files from files group by stream_id),
+votes as (select stream_id, file_id, field, k, count(k) as n, list_position(['integer', 'decimal', 'string', 'object', 'array', 'boolean'], k) as o from typed group by all),
+cat as (select v.stream_id, v.file_id, seq, field, k as kind from votes v join files f using (stream_id, file_id)
+        qualify row_number() over (partition by v.stream_id, v.file_id, field order by n desc, o) = 1),
+isl as (select stream_id, field, seq, seq - row_number() over (partition by stream_id, field order by seq) as g from cat),
+spans as (select stream_id, field, min(seq) as first_seq, max(seq) as last_seq, any_value(files) as files from isl join last_seq using (stream_id) group by stream_id, field, g),
+gone as (select stream_id, last_seq + 1 as seq, field as old_field from spans where last_seq < files),
+come as (select stream_id, first_seq as seq, field as new_field from spans where first_seq > 1),
+recs as (select distinct stream_id, file_id, row_no, rk from typed where rk is not null),
+pairs as (select g.stream_id, g.seq, old_field, new_field, x.t as ot, y.t as nt, coalesce(x.k != a.kind, false) or coalesce(y.k != b.kind, false) as aside
+  from gone g join come c on g.stream_id = c.stream_id and g.seq = c.seq
+  join cat a on a.stream_id = g.stream_id and a.seq = g.seq - 1 and a.field = old_field
+  join cat b on b.stream_id = g.stream_id and b.seq = g.seq and b.field = new_field
+  join recs r on r.stream_id = g.stream_id and r.file_id = a.file_id
+  join recs q on q.stream_id = g.stream_id and q.file_id = b.file_id and q.rk = r.rk
+  left join typed x on x.stream_id = r.stream_id and x.file_id = r.file_id and x.row_no = r.row_no and x.field = old_field
+  left join typed y on y.stream_id = q.stream_id and y.file_id = q.file_id and y.row_no = q.row_no and y.field = new_field),
+fit as (select stream_id, seq, old_field, new_field, count(*) filter (where not aside and ot = nt) as alike from pairs
+  group by all having alike > 0 and count(*) filter (where not aside and ot is distinct from nt) = 0),
+ren as (select stream_id, seq, old_field, new_field from fit
+  qualify row_number() over (partition by stream_id, seq, old_field order by alike desc, new_field) = 1 and row_number() over (partition by stream_id, seq, new_field order by alike desc, old_field) = 1),
+links as (select r.stream_id, new_field as field, r.seq as first_seq, n.field as to_field, n.first_seq as to_seq from ren r join spans n on n.stream_id = r.stream_id and n.field = old_field and n.last_seq = r.seq - 1),
+roots as (select stream_id, field, first_seq, last_seq, files, field as canonical, first_seq as origin_seq from spans s
+    where not exists (select 1 from links l where l.stream_id = s.stream_id and l.field = s.field and l.first_seq = s.first_seq)
+  union all select s.stream_id, s.field, s.first_seq, s.last_seq, s.files, r.canonical, r.origin_seq from spans s
+    join links l on l.stream_id = s.stream_id and l.field = s.field and l.first_seq = s.first_seq
+    join roots r on r.stream_id = l.stream_id and r.field = l.to_field and r.first_seq = l.to_seq),
+lanes as (select stream_id, canonical, origin_seq, case when max(max(last_seq)) over (partition by stream_id, canonical order by origin_seq rows between unbounded preceding and 1 preceding) >= origin_seq
+    then canonical || '#' || origin_seq else canonical end as lane from roots group by stream_id, canonical, origin_seq),
+lines as (select r.stream_id, field, lane as canonical, r.origin_seq, first_seq, last_seq, files from roots r join lanes using (stream_id, canonical, origin_seq)),
+named as (select c.*, l.canonical, last_value(kind ignore nulls) over (partition by c.stream_id, l.canonical, l.origin_seq order by c.seq) as carried,
+    last_value(kind ignore nulls) over (partition by c.stream_id, l.canonical, l.origin_seq order by c.seq rows between unbounded preceding and 1 preceding) as earlier
+  from cat c join lines l on l.stream_id = c.stream_id and l.field = c.field and c.seq between l.first_seq and l.last_seq)
+"""
+_P2 = {
+    "p2_found": f"""with recursive {_DRIFT},
+log as (select stream_id, seq, 'renamed' as change_kind, old_field, new_field from ren
+  union all select stream_id, seq, 'added', '', new_field from come anti join ren using (stream_id, seq, new_field)
+  union all select stream_id, seq, 'removed', old_field, '' from gone anti join ren using (stream_id, seq, old_field)
+  union all select stream_id, seq, 'retyped', field, field from named where kind != earlier)
+select file_id, change_kind, old_field, new_field from log join files using (stream_id, seq)""",
+    "p2_catalogue": f"with recursive {_DRIFT} select stream_id, field, canonical, first_seq::int as first_seq, last_seq::int as last_seq, files::int as files from lines",
+    "p2_cells": f"""with recursive {_DRIFT},
+numeric as (select canonical, bool_or(coalesce(kind in ('integer', 'decimal'), false)) as is_number from named group by canonical),
+vals as (select t.*, n.canonical, is_number, case when k in ('integer', 'decimal') then t.v when k = 'object' then json_extract_string(t.v, '$.value')
+    when k = 'array' then regexp_extract(t.v, '^\\["?([^,"\\[\\]{{}}]*)"?\\]$', 1) when k = 'string' then json_extract_string(t.v, '$') end as inner_text
+  from typed t join named n using (stream_id, file_id, field) join numeric using (canonical) where t.t is not null),
+cells as (select *, case when is_number and regexp_full_match(inner_text, '-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][-+]?[0-9]+)?') then inner_text::double end as number from vals)
+select stream_id, file_id, row_no, canonical as field, number, case when not is_number and k = 'string' then json_extract_string(v, '$') end as text,
+  case when is_number and number is null or not is_number and k != 'string' then v
+       when is_number and k = 'object' and len(json_keys(v)) > 1 then '{{' || array_to_string(list_transform(list_sort(json_keys(v)), lambda x: '"' || x || '":' || json_extract(v, x)::varchar), ',') || '}}' end as raw
+from cells""",
+}
+
+
+SQL = _P2 | {
     "p3_found": """
 with d as (select requested_date, max(delivery_no) as delivery_no, row_number() over (order by requested_date) as seq from epm_snapshot where requested_date is not null group by 1),
 s as (select seq, d.requested_date, player_id, case when isnan(oepm) then null else round(oepm, 3) end as o, case when isnan(depm) then null else round(depm, 3) end as e

@@ -88,7 +88,8 @@ def test_odd_payloads_and_chain_of_names(spark):
     assert table.count() == rows.count()
     got = {(r.file_id, r.row_no): r.a for r in table.collect()}
     assert got[(1, 0)] == 5 and got[(2, 0)] == 5 and got[(4, 0)] == 7 and got[(4, 1)] is None and got[(1, 2)] is None
-    assert {c for c, _ in drift.columns()} == {"a", "player_id", "requested_date"}
+    assert got[(4, 1)] is None and {r.row_no: r.a__raw for r in table.where("file_id = 4").collect()} == {0: None, 1: '"x"', 2: None}
+    assert [c[0] for c in drift.columns()] == ["a", "player_id", "requested_date"]
 
 
 def test_a_name_that_is_used_anew(spark):
@@ -102,6 +103,36 @@ def test_a_name_that_is_used_anew(spark):
     assert got[(1, 0)] == (5, None) and got[(2, 1)] == (6, None) and got[(3, 0)] == (5, 1) and got[(4, 1)] == (None, None)
 
 
+def test_no_value_is_lost_or_altered(spark):
+    values = [
+        5, 3.7, -2, "12", "007", " 1", "n/a", "", "1.50", {"value": 4}, {"value": 4, "unit": "n"}, {"value": "x"}, {}, [9], ["8"], [1, 2], [], [[3]], True, None, 1e30,
+        9007199254740993, 123456789012345678901234567890, 0.1234567890123456789, 2.0, "é\n\"q\"",
+    ]
+    for base in (values, ["name", "other", *values], [7, 8, 9, 10] * 9 + values):
+        rows = rows_of(spark, [(1, [json.dumps({"player_id": i, "requested_date": "2025-01-01", "x": v}) for i, v in enumerate(base)])])
+        table = {r.row_no: r for r in Drift(rows).unified().collect()}
+        for i, v in enumerate(base):
+            r = table[i].asDict()
+            x, raw = r["x"], r.get("x__raw")
+            if v is None:
+                assert x is None and raw is None
+                continue
+            assert x is not None or raw is not None
+            if raw is not None:
+                assert json.loads(raw) == v or (isinstance(v, float) and float(raw) == v), (v, raw)
+            elif isinstance(x, str):
+                assert x == v
+            elif isinstance(v, (int, float)):
+                assert x == v and type(v) is not bool
+            else:
+                inner = v["value"] if isinstance(v, dict) else v[0] if isinstance(v, list) else v
+                assert float(inner) == x
+    rows = rows_of(spark, [(1, [json.dumps({"player_id": 1, "requested_date": "d", "X": True, "x": 1, "x__raw": "a"}), json.dumps({"player_id": 2, "requested_date": "d", "x": "b", "file_id": 3})])])
+    out = Drift(rows).unified()
+    assert sorted(out.columns) == sorted(["stream_id", "file_id", "row_no", "record_kind", "delivered_ts", "X", "file_id_2", "player_id", "requested_date", "x_2", "x__raw", "x_2__raw"])
+    assert Drift(rows).cells().count() == 9
+
+
 def test_empty_table(spark):
     drift = Drift(rows_of(spark, []))
     assert drift.changes().count() == 0
