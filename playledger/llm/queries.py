@@ -35,7 +35,7 @@ def p1_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenizer.encode_column(table(spark, sf_dir, "documents", ["doc_id", "text"]), "text", "ids", key="doc_id").select("doc_id", "ids")
+    return tokenizer.encode_column(table(spark, sf_dir, "documents", ["doc_id", "text"]), "text", "ids").select("doc_id", "ids")
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, inside Spark's expressions.
 
-The text is cut into words by the vocabulary's pattern. Each distinct word of the corpus is encoded
-once: a higher-order function folds ranked merges over the word's array of bytes, looking pairs up
-in a rank map that is a literal of the plan. The words' ids are then put in place of the words.
+The text is cut into words by the vocabulary's pattern. A higher-order function folds ranked merges
+over a word's array of bytes, looking pairs up in a rank map that is a literal of the plan. The words
+that the corpus uses most are encoded once each, and their ids become a second literal; any other
+word is encoded where it stands. So texts are never shuffled, and the plan is the same at every size.
 Decoding concatenates the pieces of bytes that the ids stand for.
 """
 
@@ -11,13 +12,13 @@ from __future__ import annotations
 import base64
 import json
 import os
+from collections.abc import Callable
 from functools import lru_cache
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 
@@ -27,9 +28,11 @@ WORDS = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 RANK_BUCKETS = 1 << 16
-#: Most distinct words, and their bytes with ids, for which the words' ids become a literal too.
-MOST_WORDS = 300_000
-MOST_BYTES = 48_000_000
+#: Bits of an id in a packed merge: three ids fill a BIGINT.
+ID_BITS = 21
+#: How many of the most frequent words, of at most how many bytes, have their ids as a literal. This only
+#: saves work: other words give the same ids where they stand.
+LITERAL_WORDS, LITERAL_BYTES = 100_000, 48
 
 
 def vocabulary_path(name: str = BYTE_BPE_50K, folder: str | None = None) -> str:
@@ -74,16 +77,18 @@ def _literal(value: object, kind: str) -> Column:
 @lru_cache(maxsize=4)
 def _rank_buckets(path: str) -> list[list[int]]:
     buckets: list[list[int]] = [[] for _ in range(RANK_BUCKETS)]
+    if max(vocabulary(path).values()) >> ID_BITS:
+        raise ValueError(f"ids of more than {ID_BITS} bits")
     for a, b, c in merges(path):
-        buckets[(a * 31_321 + b * 7_919) % RANK_BUCKETS].append((a << 32) | (b << 16) | c)
+        buckets[(a * 31_321 + b * 7_919) % RANK_BUCKETS].append((a << 2 * ID_BITS) | (b << ID_BITS) | c)
     return buckets
 
 
 def _rank(buckets: Column, a: Column, b: Column) -> Column:
     """The id that the pair of ids merges to, or null."""
     bucket = F.get(buckets, F.pmod(a * 31_321 + b * 7_919, F.lit(RANK_BUCKETS)))
-    key = F.shiftleft(a, 16).bitwiseOR(b)
-    return F.get(F.filter(bucket, lambda e: F.shiftright(e, 16) == key), F.lit(0)).bitwiseAND(F.lit(0xFFFF))
+    key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+    return F.get(F.filter(bucket, lambda e: F.shiftright(e, ID_BITS) == key), F.lit(0)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
 
 
 def encode_word(word: Column, path: str) -> Column:
@@ -128,44 +133,41 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-def distinct_words(texts: DataFrame, text: str, path: str) -> DataFrame:
-    """word, ids: each distinct word of the corpus, encoded once."""
-    found = texts.select(F.explode(words(F.col(text))).alias("word")).distinct()
-    # beside the bytes' array nothing of a word is large, but many tasks share the work evenly
-    return found.repartition(max(found.sparkSession.sparkContext.defaultParallelism, 8)).select("word", encode_word(F.col("word"), path).cast("array<int>").alias("ids"))
+def frequent_words(texts: DataFrame, text: str, path: str, most: int) -> list[tuple[str, list[int]]]:
+    """(word, ids) of the ``most`` most frequent words of at most LITERAL_BYTES bytes, counted over all
+    texts, each encoded once; at most ``most`` rows come to the driver."""
+    found = texts.select(F.explode(words(F.col(text))).alias("word")).where(F.octet_length("word") <= LITERAL_BYTES).groupBy("word").agg(F.count("*").alias("n"))
+    top = found.orderBy(F.desc("n"), "word").limit(most).select("word")
+    spread = top.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, 8))
+    return [(r.word, list(r.ids)) for r in spread.select("word", encode_word(F.col("word"), path).cast("array<int>").alias("ids")).collect()]
+
+
+def _placed(texts: DataFrame, text: str, path: str, most: int, value: Callable[[list[int]], object], kind: str, other: Callable[[Column], Column]) -> Column:
+    """An array with what ``value`` makes of the ids of each word of the text: looked up in the literal,
+    else made by ``other`` of the word."""
+    known = frequent_words(texts, text, path, most) if most else []
+    size = max(1024, 1 << (2 * len(known)).bit_length())
+    table: list[list[dict]] = [[] for _ in range(size)]
+    for word, own in known:
+        # Spark's xxhash64, whose seed is 42; size is a power of 2
+        table[xxhash.xxh64_intdigest(word.encode(), seed=42) & (size - 1)].append({"w": word, "v": value(own)})
+    literal = _literal(table, f"array<array<struct<w:string,v:{kind}>>>")
+
+    def of(w: Column) -> Column:
+        there = F.get(F.filter(F.get(literal, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), lambda e: e["w"] == w), F.lit(0))["v"]
+        return F.coalesce(there, other(w).cast(kind))
 
+    return F.transform(words(F.col(text)), of)
 
-def encode_column(texts: DataFrame, text: str, ids: str, *, key: str, path: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+
+def encode_column(texts: DataFrame, text: str, ids: str, *, path: str | None = None, most: int = LITERAL_WORDS) -> DataFrame:
     """texts with ``ids`` ARRAY<INT>: the ids of ``text`` without special tokens.
 
     A null and an empty text give an empty list. Strings that look like special tokens are ordinary
-    text. Other columns stay; one named ``ids`` is replaced. If the corpus has at most ``most_words`` distinct words (counted,
-    and their bytes summed, before anything is gathered), their ids become a second literal and
-    texts are encoded where they lie, without a shuffle; beyond that, words are joined to their ids
-    and put together again by ``key`` and text.
+    text. Other columns stay; one named ``ids`` is replaced. The same for each of repeated rows.
     """
     path = path or vocabulary_path()
-    encoded = cut(distinct_words(texts, text, path))
-    extent = encoded.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word") + 6 * F.size("ids")), F.lit(0)).alias("b")).first()
-    if extent.n <= most_words and extent.b <= MOST_BYTES:
-        size = max(1024, 1 << (2 * max(extent.n, 1) - 1).bit_length())
-        table: list[list[dict]] = [[] for _ in range(size)]
-        for r in encoded.select("word", "ids", F.pmod(F.xxhash64("word"), F.lit(size)).cast("int").alias("b")).toLocalIterator():
-            table[r.b].append({"w": r.word, "i": r.ids})
-        literal = _literal(table, "array<array<struct<w:string,i:array<int>>>>")
-
-        def of(w: Column) -> Column:
-            return F.get(F.filter(F.get(literal, F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), lambda e: e["w"] == w), F.lit(0))["i"]
-
-        return texts.withColumn(ids, F.flatten(F.transform(words(F.col(text)), of)))
-    # rows of one key and text (repeats, or null keys) are one group with each word several times
-    group = [F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.length(text).alias("_length")]
-    placed = texts.select(*group, F.posexplode(words(F.col(text))).alias("_at", "word")).join(encoded, "word")
-    lists = placed.groupBy("_key", "_hash", "_length").agg(F.array_sort(F.collect_set(F.struct("_at", "ids"))).alias("_w"))
-    put = lists.select("_key", "_hash", "_length", F.flatten(F.transform("_w", lambda x: x["ids"])).alias("_ids"))
-    rows = texts.select(*group, F.struct(*(c for c in texts.columns if c != ids)).alias("_row"))
-    same = [rows[c].eqNullSafe(put[c]) for c in ("_key", "_hash", "_length")]
-    return rows.join(put, same, "left").select("_row.*", F.coalesce("_ids", F.array().cast("array<int>")).alias(ids))
+    return texts.withColumn(ids, F.flatten(_placed(texts, text, path, most, list, "array<int>", lambda w: encode_word(w, path))))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
@@ -181,7 +183,8 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "UTF-8")
 
 
-def token_counts(texts: DataFrame, text: str, *, key: str, path: str | None = None) -> DataFrame:
-    """``key`` and n_tokens of each text."""
-    return encode_column(texts.select(key, text), text, "_ids", key=key, path=path).select(key, F.size("_ids").alias("n_tokens"))
-
+def token_counts(texts: DataFrame, text: str, *, key: str, path: str | None = None, most: int = LITERAL_WORDS) -> DataFrame:
+    """``key`` and n_tokens of each text; the ids themselves are never put together."""
+    path = path or vocabulary_path()
+    each = _placed(texts, text, path, most, len, "int", lambda w: F.size(encode_word(w, path)))
+    return texts.select(key, F.aggregate(each, F.lit(0), lambda a, b: a + b).alias("n_tokens"))

@@ -1,4 +1,4 @@
-"""Ids against a library's, on both ways of putting words in place, and the exact round trip."""
+"""Ids against a library's, with words looked up and encoded where they stand, and the exact round trip."""
 
 import base64
 import os
@@ -29,11 +29,11 @@ def texts():
     ]
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
+@pytest.mark.parametrize("most", [10**6, 0, 5])
 def test_ids_equal_the_library(spark, library, most):
     rows = list(enumerate(texts())) + [(None, "same"), (None, "other"), (13, "same")]
     df = spark.createDataFrame([(i, t, 1, "w") for i, t in rows], "doc_id long, text string, _key int, word string")
-    got = tokenizer.encode_column(df, "text", "ids", key="doc_id", most_words=most).select("doc_id", "text", "ids", "_key", "word").collect()
+    got = tokenizer.encode_column(df, "text", "ids", most=most).select("doc_id", "text", "ids", "_key", "word").collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.ids == (library.encode_ordinary(r.text) if r.text else []), (r.doc_id, r.text and r.text[:40])
@@ -42,11 +42,11 @@ def test_ids_equal_the_library(spark, library, most):
 
 def test_round_trip_and_counts(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
-    back = tokenizer.encode_column(df, "text", "ids", key="doc_id").select("text", "ids", tokenizer.decode(F.col("ids")).alias("back"))
+    back = tokenizer.encode_column(df, "text", "ids").select("text", "ids", tokenizer.decode(F.col("ids")).alias("back"))
     assert all(r.back == (r.text or "") for r in back.collect())
     n = {r.doc_id: r.n_tokens for r in tokenizer.token_counts(df, "text", key="doc_id").collect()}
     assert n[0] == n[1] == 0 and n[13] == 1
-    assert tokenizer.encode_column(df.limit(0), "text", "ids", key="doc_id").count() == 0
+    assert tokenizer.encode_column(df.limit(0), "text", "ids").count() == 0
 
 
 def test_merges_rebuild_every_piece():
