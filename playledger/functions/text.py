@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +30,23 @@ def game_id(c: Column) -> Column:
     return F.when(F.length(t) < 10, F.lpad(t, 10, "0")).otherwise(t)
 
 
+#: letters that have no decomposition
+UNMARKED = {"ł": "l", "ø": "o", "đ": "d", "ı": "i", "ð": "d", "ħ": "h", "ŧ": "t", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+
+
+@lru_cache(maxsize=1)
+def _decomposed() -> tuple[str, str]:
+    """Letters with marks below U+2000, and the letters that their canonical decompositions begin with."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x2000) if unicodedata.normalize("NFD", chr(c)) != chr(c)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def fold_name(c: Column) -> Column:
-    """Lower case, common Latin diacritics taken off, anything but letters and digits as one blank."""
-    marked = "áàâäãåāçćčđéèêëēğíìîïīıñóòôöõøōřśšşţúùûüūýžźż"
-    plain = "aaaaaaacccdeeeeegiiiiiinooooooorssstuuuuuyzzz"
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), marked, plain), "[^a-z0-9]+", " "))
+    """Lower case, marks taken off as by canonical decomposition, anything but letters a-z and digits as one blank."""
+    t = F.regexp_replace(F.translate(F.lower(c), *_decomposed()), r"\p{M}+", "")
+    for letter, plain in UNMARKED.items():
+        t = F.replace(t, F.lit(letter), F.lit(plain))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def clock_seconds(c: Column) -> Column:

@@ -241,7 +241,7 @@ class Drift:
         sums = [F.sum(c).alias(c) for c in ("n", "n_fraction", "n_text", "n_truth", "n_partial")]
         seen = self.named().groupBy("canonical").agg(F.max(F.coalesce(F.col("kind").isin("integer", "decimal"), F.lit(False))).alias("numeric"), *sums)
         out = []
-        for r in seen.toLocalIterator():
+        for r in seen.collect():
             if r.numeric:
                 out.append((r.canonical, "double" if r.n_fraction else "bigint", r.n_partial > 0))
             elif r.n_truth == r.n > 0:

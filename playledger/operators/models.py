@@ -10,25 +10,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .estimate import pair_products
+from .ranks import numbered, running
+from .sequences import along
 
 
 def ks_statistic(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """Largest distance of two groups' distribution functions, from counts per distinct value."""
     x = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     per = x.groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    upto, whole = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    d = F.abs(F.sum("na").over(upto) / F.sum("na").over(whole) - F.sum("nb").over(upto) / F.sum("nb").over(whole))
-    return per.select(d.alias("d")).agg(F.max("d").alias("ks"))
+    run = running(per, [value], {"ra": "na", "rb": "nb"})
+    sums = per.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    ta, tb = sums.select("ta").scalar(), sums.select("tb").scalar()
+    return run.agg(F.max(F.abs(F.col("ra") / ta - F.col("rb") / tb)).alias("ks"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """df with the false-discovery rate at which each row's test passes; few rows by design (one per test)."""
-    n = F.count(p).over(Window.partitionBy())
-    r = F.rank().over(Window.orderBy(F.col(p).asc_nulls_last())) + F.count("*").over(Window.partitionBy(p)) - 1
-    raw = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * n / r))
-    w = Window.orderBy(F.col(p).desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.withColumn(out, F.least(F.min("_raw").over(w), F.when(F.col(p).isNotNull(), F.lit(1.0)))).drop("_raw")
+    """df with the false-discovery rate at which each row's test passes; null where p is.
+
+    The rate of a value of p is the least of p n / rank over it and all greater ones. The ranks come
+    from running counts over the distinct values; the least from the values' ranges, last to first.
+    """
+    per = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_k"))
+    ranked = running(per, [p], {"_r": "_k"})
+    raw = cut(ranked.withColumn("_raw", F.col(p) * per.agg(F.sum("_k")).scalar() / F.col("_r")).repartitionByRange(p).withColumn("_range", F.spark_partition_id()))
+    each = raw.groupBy("_range").agg(F.min("_raw").alias("_m"))
+    after = each.select("_range", F.min("_m").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))  # a row per range
+    w = Window.partitionBy("_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    rates = raw.withColumn("_q", F.min("_raw").over(w)).join(F.broadcast(after), "_range").select(p, F.least("_q", "_after", F.lit(1.0)).alias(out))
+    return df.join(rates, p, "left").select(*df.columns, out)
 
 
 def quantile_bins(df: DataFrame, value: str, tie: Sequence[str], bins: int, out: str = "bin") -> DataFrame:
@@ -36,8 +47,7 @@ def quantile_bins(df: DataFrame, value: str, tie: Sequence[str], bins: int, out:
 
     Row n of N in order is in bin k if n lies in (1 + (N-1)(k-1)/bins, 1 + (N-1)k/bins].
     """
-    w = Window.orderBy(value, *tie)
-    ranked = df.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    ranked = numbered(df, [value, *tie], "_r").withColumn("_n", df.agg(F.count("*")).scalar())
     place = (F.col("_r") - 1) * bins / F.nullif(F.col("_n") - 1, F.lit(0))
     return ranked.withColumn(out, F.greatest(F.ceil(F.round(F.coalesce(place, F.lit(0.0)), 9)), F.lit(1)).cast("int")).drop("_r", "_n")
 
@@ -96,6 +106,23 @@ def series_win_probability(p_home: float, p_away: float, home: Sequence[bool] =
     return won
 
 
+def series_chances(home: Column, away: Column, places: Sequence[bool] = (True, True, False, False, True, False, True)) -> Column:
+    """``series_win_probability`` as an expression: the states of wins are advanced game by game."""
+    need = len(places) // 2 + 1
+    states: dict[tuple[int, int], Column] = {(0, 0): F.lit(1.0)}
+    won = F.lit(0.0)
+    for at_home in places:
+        p = home if at_home else away
+        after: dict[tuple[int, int], Column] = {}
+        for (a, b), q in states.items():
+            won = won + q * p if a + 1 == need else won
+            for key, r in ((((a + 1), b), p), ((a, b + 1), 1 - p)):
+                if max(key) < need:
+                    after[key] = after[key] + q * r if key in after else q * r
+        states = after
+    return won
+
+
 def capped_shares(df: DataFrame, group: str, key: str, weight: str, cap: str, total: float) -> DataFrame:
     """group, key, share: ``total`` divided in proportion to weight, none above its cap.
 
@@ -127,26 +154,25 @@ def capped_shares(df: DataFrame, group: str, key: str, weight: str, cap: str, to
 def ou_filter(panel: DataFrame, *, key: str, order: Sequence[str], value: str, exposure: str, gap_days: str, level_var: float, level_q: float, swing_var: float, half_life: float, r: float) -> DataFrame:
     """Two-part filter per key: a level that drifts and a swing that decays to 0 between rows."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable").reset_index(drop=True)
-        m, p = np.zeros(2), np.diag([level_var, swing_var])
+    def step(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, dict]:
+        m, p, first = state
         out = np.empty((len(pdf), 2))
         y, e, gap = pdf[value].to_numpy(float), pdf[exposure].to_numpy(float), pdf[gap_days].fillna(0).to_numpy(float)
         for k in range(len(pdf)):
-            if k:
+            if not first:
                 f = 0.5 ** (gap[k] / half_life)
                 a = np.diag([1.0, f])
                 m, p = a @ m, a @ p @ a + np.diag([level_q * gap[k], swing_var * (1 - f * f)])
+            first = False
             if not np.isnan(y[k]) and e[k] > 0:
-                s = p.sum() + r / e[k]
-                g = p.sum(axis=1) / s
-                m, p = m + g * (y[k] - m.sum()), p - np.outer(g, p.sum(axis=0))
+                h = p.sum(axis=1)
+                gain = h / (h.sum() + r / e[k])
+                m, p = m + gain * (y[k] - m.sum()), p - np.outer(gain, h)
             out[k] = m
-        return pdf[[key, *order]].assign(level=out[:, 0], swing=out[:, 1])
+        return (m, p, first), {"level": out[:, 0], "swing": out[:, 1]}
 
-    kinds = dict(panel.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order]) + ", level double, swing double"
-    return panel.select(key, *order, value, exposure, gap_days).groupBy(key).applyInPandas(one, schema)
+    rows = panel.select(key, *order, value, exposure, gap_days)
+    return along(rows, [key], list(order), lambda: (np.zeros(2), np.diag([level_var, swing_var]), True), step, "level double, swing double").select(key, *order, "level", "swing")
 
 
 def ridge_by_folds(rows: DataFrame, *, features: str, weight: str, target: str, fold: str, alphas: Sequence[float], most: int = 5000) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def weighted_mean(x: Column, w: Column) -> Column:
     return F.sum(x * w) / F.sum(F.when(x.isNotNull(), w))
@@ -37,11 +39,10 @@ def moments_corr(x: Column, y: Column, w: Column) -> Column:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by average ranks; ranks come from counts per distinct score.
 
-    Only one row per distinct score enters the global order, never one per input row.
+    Only one row per distinct score enters the order, and that is by ranges.
     """
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_p"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per.select(F.col("_n").alias("n"), F.col("_p").alias("p"), (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias("r"))
+    ranks = running(per, [score], {"_upto": "_n"}).select(F.col("_n").alias("n"), F.col("_p").alias("p"), (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias("r"))
     sums = ranks.agg(F.sum(F.col("r") * F.col("p")).alias("rp"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return sums.select(((F.col("rp") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import models, possessions as pos, windows
 from ..tables import DRIVER_TABLES, table
 from .playbyplay import _BASE, _panel
+from .training import games
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,16 +100,25 @@ def pbp_possession_start_report(spark, sf_dir):
     return g.agg(F.count("*").alias("possessions"), F.sum("points").cast("bigint").alias("points"), F.grouping("poss_offense").cast("bigint").alias("scope"))
 
 
-@query(f"""with {_BASE}, s as (select game_id, event_num, player1_id, period, clock, (event_type = 1)::int as made from tl where event_type in (1, 2) and player1_id > 0),
-g as (select avg(made) as g from s), d as (select player1_id, game_id, count(*) as n, sum(made) as m from s group by 1, 2)
-select player1_id::bigint as player_id, lpad(game_id, 10, '0') as game_id, n, round((coalesce(sum(m) over w, 0) + 40 * (select g from g)) / (coalesce(sum(n) over w, 0) + 40), 7) as talent from d window w as (partition by player1_id order by game_id rows between unbounded preceding and 1 preceding)""")
+@query(f"""with {_BASE}, gd as (select lpad(regexp_replace(trim(game_id), '\\.0$', ''), 10, '0') as gid, arg_max(game_date, updated_ts) as day from game_metadata where game_id is not null group by 1),
+s as (select player1_id, lpad(game_id, 10, '0') as gid, (event_type = 1)::int as made from tl where event_type in (1, 2) and player1_id > 0),
+d as (select player1_id, s.gid, day, count(*) as n, sum(made) as m from s join gd on gd.gid = s.gid where day is not null group by 1, 2, 3),
+l as (select day, sum(m) as m, sum(n) as n from d group by 1), lg as (select day, sum(m) over w / sum(n) over w as g from l window w as (order by day rows between unbounded preceding and 1 preceding))
+select player1_id::bigint as player_id, d.gid as game_id, n, round((coalesce(sum(m) over w, 0) + 40 * coalesce(g, 0.45)) / (coalesce(sum(n) over w, 0) + 40), 7) as talent
+from d join lg using (day) window w as (partition by player1_id order by d.day range between unbounded preceding and interval 1 day preceding)""")
 def shot_talent_prior_only(spark, sf_dir):
-    """Field-goal talent from games strictly before, shrunk to the league as if by 40 shots."""
+    """Field-goal talent from days strictly before, shrunk to the league's rate of days strictly before as
+    if by 40 shots (0.45 where there is none)."""
+    dates = games(spark, sf_dir).where("game_date is not null").select("game_id", F.col("game_date").alias("day"))
     s = pos.timeline(table(spark, sf_dir, "raw_event")).where("event_type in (1, 2) and player1_id > 0").select("player1_id", "game_id", (F.col("event_type") == 1).cast("int").alias("made"))
-    d = s.groupBy(F.col("player1_id").alias("player_id"), "game_id").agg(F.count("*").alias("n"), F.sum("made").alias("m")).withColumn("g", s.agg(F.avg("made")).scalar())
-    w = windows.ordered(["player_id"], ["game_id"])
-    est = (windows.prior_sum(F.col("m"), w) + 40 * F.col("g")) / (windows.prior_sum(F.col("n"), w) + 40)
-    return d.select("player_id", "game_id", "n", F.round(est, 7).alias("talent"))
+    d = s.join(dates, "game_id").groupBy(F.col("player1_id").alias("player_id"), "game_id", "day").agg(F.count("*").alias("n"), F.sum("made").alias("m"))
+    # a row per day, however many games
+    league = d.groupBy("day").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    league = league.select("day", F.coalesce(F.sum("m").over(w) / F.sum("n").over(w), F.lit(0.45)).alias("g"))
+    own = Window.partitionBy("player_id").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    est = (F.coalesce(F.sum("m").over(own), F.lit(0)) + 40 * F.col("g")) / (F.coalesce(F.sum("n").over(own), F.lit(0)) + 40)
+    return d.join(league, "day").select("player_id", "game_id", "n", F.round(est, 7).alias("talent"))
 
 
 @query("""select name, round(value, 4) as value from (unpivot (select avg(l_quantity) as l_quantity, avg(l_extendedprice) as l_extendedprice, avg(l_discount) as l_discount, avg(l_tax) as l_tax, avg(l_linenumber) as l_linenumber, avg(l_suppkey) as l_suppkey, avg(l_partkey) as l_partkey, avg(l_orderkey) as l_orderkey from lineitem)
@@ -145,8 +155,8 @@ def team_vote_winners(spark, sf_dir):
     return best.select("game_id", "player_id", (-F.col("b.t")).alias("team_id"), F.col("b.n").alias("n"))
 
 
-@query("""with a as (select distinct player_id, trim(regexp_replace(translate(lower(player_name), 'áàâäãåāçćčđéèêëēğíìîïīıñóòôöõøōřśšşţúùûüūýžźż', 'aaaaaaacccdeeeeegiiiiiinooooooorssstuuuuuyzzz'), '[^a-z0-9]+', ' ', 'g')) as k from player_rating_history where player_name is not null),
-b as (select distinct player_id as epm_id, trim(regexp_replace(translate(lower(player_name), 'áàâäãåāçćčđéèêëēğíìîïīıñóòôöõøōřśšşţúùûüūýžźż', 'aaaaaaacccdeeeeegiiiiiinooooooorssstuuuuuyzzz'), '[^a-z0-9]+', ' ', 'g')) as k from epm_snapshot where player_name is not null),
+@query("""with a as (select distinct player_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(strip_accents(lower(player_name)), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), 'ı', 'i'), 'ð', 'd'), 'ħ', 'h'), 'ŧ', 't'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), '[^a-z0-9]+', ' ', 'g')) as k from player_rating_history where player_name is not null),
+b as (select distinct player_id as epm_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(strip_accents(lower(player_name)), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), 'ı', 'i'), 'ð', 'd'), 'ħ', 'h'), 'ŧ', 't'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), '[^a-z0-9]+', ' ', 'g')) as k from epm_snapshot where player_name is not null),
 ua as (select k, min(player_id) as player_id from a group by 1 having count(*) = 1), ub as (select k, min(epm_id) as epm_id from b group by 1 having count(*) = 1) select k as name_key, player_id, epm_id from ua join ub using (k)""")
 def fuzzy_identity_join(spark, sf_dir):
     """Players of two sources matched by folded name, where the name is one player's in both."""

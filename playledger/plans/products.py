@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import estimate
 from ..sources import files, publish
 from ..streaming import pipelines
 from ..tables import table
@@ -51,15 +51,15 @@ def hash_chain(spark, sf_dir):
     return publish.chain(e, ["user_id"], ["ts", "event_id"], F.concat_ws(":", "user_id", "event_id", "event_type")).select("user_id", "event_id", "record_hash")
 
 
-@query("select user_id, event_id from events where value > 99.5")
+@query("""with e as (select user_id, event_id, value > 99.5 as altered, lag(value > 99.5) over (partition by user_id order by ts, event_id) as before from events) select user_id, event_id from e where altered or before""")
 def hash_chain_verify(spark, sf_dir):
-    """Stored hashes over stored predecessors, some altered: exactly the altered records come out."""
+    """Records altered in a real chain, hash kept, and records whose stored hash was replaced: an altered
+    record breaks its own link, a replaced hash its own and the next one's."""
     e = table(spark, sf_dir, "events", ["user_id", "event_id", "event_type", "ts", "value"])
     body = F.concat_ws(":", "user_id", "event_id", "event_type")
-    # the stored predecessor hash stands in each record, so links are checked without a fold
-    log = e.withColumn("prev_hash", F.sha2(F.concat(F.lit("p"), F.col("event_id").cast("string")), 256))
-    log = log.withColumn("record_hash", F.sha2(F.concat("prev_hash", body), 256)).withColumn("record_hash", F.when(F.col("value") > 99.5, F.lit("0" * 64)).otherwise(F.col("record_hash")))
-    return log.where(F.sha2(F.concat("prev_hash", body), 256) != F.col("record_hash")).select("user_id", "event_id")
+    log = publish.chain(e, ["user_id"], ["ts", "event_id"], body)
+    broken = log.withColumn("record_hash", F.when(F.col("value") > 99.5, F.lit("f" * 64)).otherwise(F.col("record_hash")))
+    return publish.broken_links(broken, ["user_id"], ["ts", "event_id"], body).select("user_id", "event_id")
 
 
 @query("""select event_id, user_id from events where event_type <> 'view' qualify row_number() over (partition by user_id, ts::date order by ts desc, event_id desc) = 1
@@ -84,20 +84,10 @@ k as (select user_id, event_id, rn, (value * (100.0 + 1) / (100.0 + 1 + 50))::do
 union all select e.user_id, e.event_id, e.rn, k.m + (k.v + 1) / (k.v + 1 + 50) * (e.value - k.m), (1 - (k.v + 1) / (k.v + 1 + 50)) * (k.v + 1) from k join e on e.user_id = k.user_id and e.rn = k.rn + 1)
 select user_id, event_id, round(m, 5) as mean, round(v, 5) as var from k""")
 def kalman_one_step(spark, sf_dir):
-    """A scalar filter as a fold over each user's ordered values, inside Spark's expressions."""
+    """A scalar filter along each user's ordered values, in one streaming pass."""
     e = table(spark, sf_dir, "events", ["user_id", "event_id", "ts", "value"])
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("xs"))
-    empty = F.array().cast("array<struct<event_id:bigint,m:double,v:double>>")
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(100.0).alias("v"), empty.alias("out"))
-
-    def step(acc, x):
-        v = acc["v"] + 1.0
-        gain = v / (v + 50.0)
-        m, after = acc["m"] + gain * (x["value"] - acc["m"]), (1 - gain) * v
-        return F.struct(m.alias("m"), after.alias("v"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), m.alias("m"), after.alias("v")))).alias("out"))
-
-    out = rows.select("user_id", F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("r"))
-    return out.select("user_id", "r.event_id", F.round("r.m", 5).alias("mean"), F.round("r.v", 5).alias("var"))
+    got = estimate.scalar_filter(e, by=["user_id"], order=["ts", "event_id"], value="value", prior_var=100.0, q=1.0, r=50.0)
+    return got.select("user_id", "event_id", F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var"))
 
 
 _DAY = "(select user_id, ts::date as d, max_by(value, (ts, event_id)) as v from events group by 1, 2)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import estimate, joins, stats, windows
+from ..operators.ranks import running
 from ..tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,9 +257,9 @@ def tolerance_pairs(t):
     return joins.tolerance_join(a, b, left_on="a", right_on="b", by=["user_id"], tolerance=3600.0).select("out_event", "in_event")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def anti_join(t):
-    return t("customer", "c_custkey").join(t("orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t("customer", "c_custkey").join(t("orders", "o_custkey", "o_totalprice").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
@@ -354,10 +355,8 @@ def spearman(t):
     v = t("customer", "c_custkey", "c_acctbal").join(t("orders", "o_custkey", "o_totalprice"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_acctbal").agg(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("spent"))
 
     def ranks(c: str, name: str) -> DataFrame:
-        # one row per distinct value enters the global order
         n = v.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(*windows.PRIOR)), F.lit(0))
-        return n.select(c, (before + (F.col("n") + 1) / 2).alias(name))
+        return running(n, [c], {"_upto": "n"}).select(c, (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
 
     return v.join(ranks("c_acctbal", "a"), "c_acctbal").join(ranks("spent", "b"), "spent").agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
 
@@ -562,7 +561,7 @@ def id_normalize_zfill(t):
     return p.where("length(game_id) <= 10").groupBy("game_id").agg(F.count("*").alias("n"))
 
 
-@query("""select player_id, trim(regexp_replace(translate(lower(player_name), 'áàâäãåāçćčđéèêëēğíìîïīıñóòôöõøōřśšşţúùûüūýžźż', 'aaaaaaacccdeeeeegiiiiiinooooooorssstuuuuuyzzz'), '[^a-z0-9]+', ' ', 'g')) as folded from player_rating_history""")
+@query("""select player_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(strip_accents(lower(player_name)), 'ł', 'l'), 'ø', 'o'), 'đ', 'd'), 'ı', 'i'), 'ð', 'd'), 'ħ', 'h'), 'ŧ', 't'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), '[^a-z0-9]+', ' ', 'g')) as folded from player_rating_history""")
 def name_fold(t):
     return t("player_rating_history", "player_id", "player_name").select("player_id", tx.fold_name(F.col("player_name")).alias("folded"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import contracts
+from ..operators.sequences import along
 
 
 def row_key(keys: Sequence[str]) -> Column:
@@ -49,14 +52,65 @@ def current_rows(registry: DataFrame, versions: DataFrame, rows: DataFrame) -> D
 
 
 def chain(log: DataFrame, by: Sequence[str], order: Sequence[str], body: Column) -> DataFrame:
-    """log with record_hash over its body and the hash before it, per key in order."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bodies = F.collect_list(body).over(w)
-    return log.withColumn("record_hash", F.aggregate(bodies, F.lit("0" * 64), lambda h, b: F.sha2(F.concat(h, b), 256)))
+    """log with record_hash over its body and the hash before it, per key in order; a null body counts as ''."""
+
+    def step(h: str, rows: pd.DataFrame) -> tuple[str, dict]:
+        out = []
+        for b in rows["_body"]:
+            h = hashlib.sha256((h + ("" if b is None else b)).encode()).hexdigest()
+            out.append(h)
+        return h, {"record_hash": out}
+
+    return along(log.withColumn("_body", body), by, order, lambda: "0" * 64, step, "record_hash string").drop("_body")
 
 
 def broken_links(log: DataFrame, by: Sequence[str], order: Sequence[str], body: Column) -> DataFrame:
     """Records whose hash does not follow from the stored hash before them: one window, no fold."""
     w = Window.partitionBy(*by).orderBy(*order)
     prev = F.coalesce(F.lag("record_hash").over(w), F.lit("0" * 64))
-    return log.withColumn("_want", F.sha2(F.concat(prev, body), 256)).where("record_hash is null or record_hash != _want").drop("_want")
+    return log.withColumn("_want", F.sha2(F.concat(prev, F.coalesce(body, F.lit(""))), 256)).where("record_hash is null or record_hash != _want").drop("_want")
+
+
+def promote(spark: SparkSession, at: str, slug: str, rows: DataFrame, version: DataFrame) -> str:
+    """Write a version's rows and let the dataset's pointer show it; returns the version's id.
+
+    Rows are written to a folder named by their content, then the pointer, a file of its own, is put in
+    place by one rename: a reader sees the version before or this one, never half of it. The same
+    version promoted again is not written again. Pointers are numbered and never changed.
+    """
+    version_id = version.first().version_id
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows_at = f"{at}/{slug}/versions/{version_id}"
+    if not fs.exists(path(f"{rows_at}/_SUCCESS")):
+        rows.write.mode("overwrite").parquet(rows_at)
+    number = len(history(spark, at, slug)) + 1
+    draft = path(f"{at}/{slug}/drafts/{version_id}-{number}")
+    out = fs.create(draft, True)
+    out.write(bytearray(version_id.encode()))
+    out.close()
+    fs.mkdirs(path(f"{at}/{slug}/pointers"))
+    if not fs.rename(draft, path(f"{at}/{slug}/pointers/{number:012d}-{version_id}")):
+        raise contracts.ContractError(f"{slug}: another promotion took number {number}")
+    return version_id
+
+
+def history(spark: SparkSession, at: str, slug: str) -> list[str]:
+    """The ids of the versions that the dataset's pointer has shown, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{slug}/pointers")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+    return [n.partition("-")[2] for n in names if not n.startswith(".")]
+
+
+def promoted(spark: SparkSession, at: str, slug: str) -> DataFrame:
+    """The rows of the version that the pointer shows."""
+    shown = history(spark, at, slug)
+    if not shown:
+        raise contracts.ContractError(f"{slug} has no version")
+    return spark.read.parquet(f"{at}/{slug}/versions/{shown[-1]}")
+
+
+def visible(df: DataFrame, grants: DataFrame, *, role: str, on: Sequence[str]) -> DataFrame:
+    """The rows that a role's grants (role, and the columns of ``on``) let it see; without a grant none."""
+    return df.join(grants.where(F.col("role") == role).select(*on).distinct(), list(on), "left_semi")

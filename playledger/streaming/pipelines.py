@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..session import ensure_checkpoint_dir
+
 
 def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -73,6 +75,36 @@ def filter_states(stream: DataFrame, key: str, order: str, value: str, *, prior_
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, mean double, var double", "mean double, var double", "append", GroupStateTimeout.NoTimeout)
 
 
+def expiring_states(stream: DataFrame, key: str, day: str, value: str, *, expire_days: int = 730) -> DataFrame:
+    """key, day, n, mean of the values before each row; a state not touched for ``expire_days`` is forgotten.
+
+    ``day`` is a timestamp with a watermark. A row after a longer gap starts anew, and a key whose
+    time the watermark has passed by that much leaves the state store.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, None)
+        out = []
+        for row in pd.concat(list(batches)).sort_values([day, value], kind="stable").itertuples():
+            at, y = getattr(row, day), getattr(row, value)
+            if last is not None and (at - last).days > expire_days:
+                n, total = 0, 0.0
+            out.append((k[0], at, n, total / n if n else None))
+            if y is not None and y == y:
+                n, total = n + 1, total + y
+            last = at
+        if last is not None:
+            state.update((n, total, last))
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + expire_days * 86_400_000 + 1)
+        yield pd.DataFrame(out, columns=[key, day, "n", "mean"]).astype({"mean": "float64"})
+
+    kinds = dict(stream.dtypes)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {day} timestamp, n bigint, mean double", "n bigint, total double, last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def add_sums(target: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that writes each batch's sufficient statistics under its own number.
 
@@ -86,9 +118,26 @@ def add_sums(target: str) -> Callable[[DataFrame, int], None]:
 
 
 def run_to_end(stream: DataFrame, mode: str = "append", *, checkpoint: str | None = None) -> DataFrame:
-    """What a stream gives of all that is there now, from an in-memory table."""
-    name = "s" + uuid.uuid4().hex
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """What a stream gives of all that is there now, from a table written in the shared folder.
+
+    Each batch has a folder of its own, which a repeated batch replaces; in complete mode the last
+    batch is the result. Nothing passes through the driver. With a ``checkpoint`` the stream goes on
+    from there when run again.
+    """
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    target = f"{base}/rows"
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        last.append(number)
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or f"{base}/checkpoint").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{target}/batch={last[-1]}")
+    return spark.read.schema(stream.schema).parquet(*(f"{target}/batch={n}" for n in sorted(set(last))))
