@@ -74,8 +74,8 @@ def collapse(items: DataFrame, *, bucket_s: int = BUCKET_S, gap_s: int = GAP_S)
     last_event_num, n_reports, duration_s (clock of the first less that of the last report).
 
     items has the columns of ``link_items``. Order in a game is period, clock from high to low,
-    event_num. Rows of equal game and event_num with equal period and clock are copies and count
-    once, by the one received first. Rows follow each other in a run if they are neighbours in that
+    event_num. Rows of equal game and event_num are copies and count once, by the one received first
+    (of these the one of the lowest period, then clock). Rows follow each other in a run if they are neighbours in that
     order, of the same period, both free throws or both fouls, at most ``gap_s`` apart, and agree in
     each item that both tell. Rows without game, period, clock or event_num have no place in the
     order; they are in no run and part none. An empty table gives no rows.
@@ -83,16 +83,17 @@ def collapse(items: DataFrame, *, bucket_s: int = BUCKET_S, gap_s: int = GAP_S)
     bucket = F.floor(F.col("clock") / bucket_s)
     # a row also goes to the next bucket if that one's first row may follow it within the gap
     reach = (F.col("clock") - bucket * bucket_s) < gap_s
+    # copies may tell another clock, so they are left out before rows are cut into buckets
+    first = Window.partitionBy("game_id", "event_num").orderBy(F.col("received_ts").asc_nulls_last(), "period", "clock")
+    items = items.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     placed = items.withColumn("_b", F.explode(F.when(reach & (bucket > 0), F.array(bucket, bucket - 1)).otherwise(F.array(bucket)))).withColumn("_halo", F.col("_b") != bucket)
     part = ["game_id", "period", "_b"]
     clock_down = F.col("clock").desc()
-    full = Window.partitionBy(*part).orderBy(clock_down, "event_num", F.col("received_ts").asc_nulls_last())
     w = Window.partitionBy(*part).orderBy(clock_down, "event_num")
-    once = placed.withColumn("_copy", (F.lag("clock").over(full) == F.col("clock")) & (F.lag("event_num").over(full) == F.col("event_num"))).where("_copy is null or not _copy")
     agree = (F.lag("event_type").over(w) == F.col("event_type")) & F.col("event_type").isin(3, 6) & (F.lag("clock").over(w) - F.col("clock") <= gap_s)
     for c in ITEMS:
         agree = agree & F.coalesce(F.lag(c).over(w) == F.col(c), F.lit(True))
-    linked = once.select(*part, "clock", "event_num", "event_type", "_halo", F.coalesce(agree, F.lit(False)).alias("_linked"), F.lag("event_num").over(w).alias("_prev_event"), F.lag("clock").over(w).alias("_prev_clock"))
+    linked = placed.select(*part, "clock", "event_num", "event_type", "_halo", F.coalesce(agree, F.lit(False)).alias("_linked"), F.lag("event_num").over(w).alias("_prev_event"), F.lag("clock").over(w).alias("_prev_clock"))
     own = linked.where(~F.col("_halo"))
     whole = Window.partitionBy(*part).orderBy(clock_down, "event_num").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = own.select("*", F.row_number().over(w).alias("_pos"), F.count("*").over(whole).alias("_n"), F.last("event_num").over(whole).alias("_end_event"), F.last("clock").over(whole).alias("_end_clock"))

@@ -69,3 +69,10 @@ def test_items(spark):
     rows = [row("g", 1, 6, 9, "K. Ab L.B.FOUL (P3.T2) (X)"), row("g", 2, 6, 9, "Ab FLAGRANT.FOUL.TYPE1 (P2.PN)"), row("g", 3, 3, 9, "MISS Ab Free Throw Flagrant 2 of 3", 0), row("g", 4, 3, 9, None, action=14), row("g", 5, 1, 9, "Ab S.FOUL")]
     got = {r.event_num: (r.player, r.kind, r.number, r.outcome, r.points, r.fouls) for r in runs.link_items(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (7, "L.B", None, None, None, 3), 2: (7, "FLAGRANT1", None, None, None, 2), 3: (None, "FLAGRANT", 2, 0, None, None), 4: (7, "ORDINARY", 2, None, None, None), 5: (None, None, None, None, None, None)}
+
+
+def test_a_copy_at_another_clock_counts_once(spark):
+    schema = "game_id string, period int, clock int, event_num long, event_type int, received_ts string, player long, kind string, number int, outcome int, points int, fouls int"
+    rows = [("1", 1, 100, 5, 3, "b", 7, None, 1, None, None, None), ("1", 1, 300, 5, 3, "a", 7, None, 1, None, None, None), ("1", 1, 299, 6, 3, "a", 7, None, 1, None, None, None), ("1", 1, 40, 9, 3, None, 7, None, 1, None, None, None)]
+    got = [(r.first_event_num, r.last_event_num, r.n_reports, r.duration_s) for r in runs.collapse(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got) == [(5, 6, 2, 1), (9, 9, 1, 0)]
