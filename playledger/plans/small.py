@@ -106,9 +106,10 @@ def row_wise_reduce(spark, sf_dir):
     return p.select("player_id", "game_id", "loaded_ts", F.greatest(*c).alias("most"), F.least(*c).alias("least"), sum((F.coalesce(x, F.lit(0)) for x in c), F.lit(0)).alias("total"))
 
 
-@query("select player_id, game_id, count(distinct (minutes, pts)::varchar) as n from player_game group by 1, 2 having count(distinct (minutes, pts)::varchar) > 1")
+@query("select o_custkey, count(distinct coalesce(o_orderstatus, '?')) as n from orders group by 1 having n > 1")
 def conflict_keys(spark, sf_dir):
-    return ops.conflicts(table(spark, sf_dir, "player_game", ["player_id", "game_id", "minutes", "pts"]), ["player_id", "game_id"], ["minutes", "pts"])
+    """Customers whose orders differ in status."""
+    return ops.conflicts(table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus"]), ["o_custkey"], ["o_orderstatus"])
 
 
 @query("select o_orderkey, (o_orderstatus = 'F')::int as status_F, (o_orderstatus = 'O')::int as status_O, (o_orderstatus = 'P')::int as status_P from orders")
