@@ -175,10 +175,12 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _typed(c: Column, kind: str) -> Column:
-    if kind == "string":
+def _typed(c: Column, form: str | None, kind: str) -> Column:
+    if form is None:
         return c
     t = _trimmed(c)
+    if kind == "string":
+        return t
     if kind == "game_id":
         return F.lpad(F.regexp_replace(t, r"\.0$", ""), 10, "0")
     if kind == "boolean":
@@ -218,6 +220,9 @@ def classify(lines: DataFrame, *, feed: str = "feed", text: str = "line_text") -
 
 
 def typed_rows(classified: DataFrame, of: str, keep: list[str], *, feed: str = "feed") -> DataFrame:
-    """The valid lines of one feed with typed columns; ``keep`` are columns of the line to keep."""
-    fields = [_typed(F.get("_fields", F.lit(k)), kind).alias(column) for k, (column, (_, kind)) in enumerate(FEEDS[of].items())]
+    """The valid lines of one feed with typed columns; ``keep`` are columns of the line to keep.
+
+    Blanks around a value go with its form; columns of any text keep theirs.
+    """
+    fields = [_typed(F.get("_fields", F.lit(k)), form, kind).alias(column) for k, (column, (form, kind)) in enumerate(FEEDS[of].items())]
     return classified.where((F.col(feed) == of) & F.col("reason").isNull()).select(*keep, *fields)

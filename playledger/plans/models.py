@@ -184,12 +184,17 @@ def column_set_difference(spark, sf_dir):
     return spark.range(1).select(F.lit(",".join(sorted(a - b))).alias("customer_only"), F.lit(",".join(sorted(b - a))).alias("supplier_only"))
 
 
-@query()
+@query("""with p as (select game_id || ':' || team_id as side, player_id, max(minutes) as minutes from player_game where team_id is not null and player_id is not null and game_id is not null group by 1, 2),
+w as (select side, player_id, greatest(coalesce(minutes, 0), 0)::double as w from p), r as (select *, count(*) over (partition by side) as n, row_number() over (partition by side order by w desc, player_id) as k, sum(w) over (partition by side) as total,
+  sum(w) over (partition by side order by w desc, player_id rows between unbounded preceding and 1 preceding) as above from w),
+-- with k - 1 at the cap, the others share the rest in proportion: the first k at which the greatest of them fits
+s as (select *, case when total > 0 then (least(240, 42 * n) - 42 * (k - 1)) / nullif(total - coalesce(above, 0), 0) end as slope from r), f as (select side, min(k) filter (where slope * w <= 42 + 1e-9) as k0 from s group by 1)
+select s.side, s.player_id, round(case when 42 * n <= 240 then 42 when total <= 0 then least(42, 240.0 / n) when s.k < k0 then 42 when k0 is not null then w * (select slope from s x where x.side = s.side and x.k = k0) else 42 end, 6) as share from s join f using (side)""")
 def capped_minutes(spark, sf_dir):
     """240 minutes of a team's game shared by earlier minutes, nobody above 42."""
-    p = table(spark, sf_dir, "player_game", ["game_id", "team_id", "player_id", "minutes"]).where("team_id is not null and player_id is not null")
+    p = table(spark, sf_dir, "player_game", ["game_id", "team_id", "player_id", "minutes"]).where("team_id is not null and player_id is not null and game_id is not null")
     p = p.groupBy(F.concat_ws(":", "game_id", "team_id").alias("side"), "player_id").agg(F.max("minutes").alias("minutes")).withColumn("cap", F.lit(42.0))
-    return models.capped_shares(p, "side", "player_id", "minutes", "cap", 240.0)
+    return models.capped_shares(p, "side", "player_id", "minutes", "cap", 240.0).withColumn("share", F.round("share", 6))
 
 
 @query()

@@ -137,23 +137,55 @@ known as (
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
 
 
-def _p5_sql() -> str:
-    cases = []
+def _value(name: str, k: int) -> str:
+    """SQL of the k-th field of a line of the feed, unquoted."""
+    line = "^" + ",".join([_FIELD] * len(FEEDS[name])) + "$"
+    raw = f"regexp_extract(t, '{line}', {k}, 's')"
+    return f"case when {raw} like '\"%' then replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') else {raw} end"
+
+
+def _bare(name: str, k: int) -> str:
+    return f"regexp_replace({_value(name, k)}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _p5_base() -> str:
+    """Lines with reason, bad_field and error_offset."""
+    counts, bad = [], []
     for name, columns in FEEDS.items():
         line = "^" + ",".join([_FIELD] * len(columns)) + "$"
+        counts.append(f"when feed = '{name}' and not regexp_matches(t, '{line}', 's') then 'column_count'")
         tests = []
-        for k, (form, kind) in enumerate(columns.values(), 1):
+        for k, (column, (form, kind)) in enumerate(columns.items(), 1):
             if form is None:
                 continue
-            value = f"regexp_replace(regexp_replace(regexp_replace(regexp_extract(t, '{line}', {k}, 's'), '^\"|\"$', '', 'g'), '\"\"', '\"', 'g'), '^\\s+|\\s+$', '', 'g')"
-            tests.append(f"not regexp_full_match({value}, '(?:{form})')")
+            test = f"not regexp_full_match({_bare(name, k)}, '(?:{form})')"
             if kind == "date":
-                tests.append(f"try_cast({value} as date) is null")
-        cases.append(f"when feed = '{name}' and not regexp_matches(t, '{line}', 's') then 'column_count' when feed = '{name}' and ({' or '.join(tests)}) then 'invalid_value'")
-    return f"""with l as (select line_id, feed, coalesce(line_text, '') as t from feed_line),
-r as (select line_id, case when not regexp_matches(t, '^{_FIELD}(,{_FIELD})*$', 's') then 'quoting' {' '.join(cases)}
-      when feed is null or feed not in ({', '.join(f"'{n}'" for n in FEEDS)}) then 'column_count' end as reason from l)
-select line_id, reason from r where reason is not null"""
+                test = f"({test} or try_cast({_bare(name, k)} as date) is null)"
+            tests.append(f"when {test} then '{column}'")
+        bad.append(f"when feed = '{name}' and regexp_matches(t, '{line}', 's') then case {' '.join(tests)} end")
+    known = ", ".join(f"'{n}'" for n in FEEDS)
+    return f"""l as (select line_id, file_name, line_no, feed, line_text, coalesce(line_text, '') as t from feed_line),
+q as (select *, not regexp_matches(t, '^{_FIELD}(,{_FIELD})*$', 's') as broken, regexp_extract(t, '^(?:(?:"(?:[^"]|"")*"|[^",]*),)*', 0, 's') as pre from l),
+h as (select *, substr(t, length(pre) + 1) as rest from q),
+o as (select *, regexp_extract(rest, '^"(?:[^"]|"")*"', 0, 's') as quoted, regexp_extract(rest, '^[^",]+', 0, 's') as plain from h),
+b as (select *, case when not broken then case {' '.join(bad)} end end as bad_field,
+  case when broken then case when rest not like '"%' then strlen(pre) + strlen(plain) when quoted <> '' and substr(rest, length(quoted) + 1, 1) <> '"' then strlen(pre) + strlen(quoted) else strlen(t) end end as error_offset from o),
+r as (select *, case when broken then 'quoting' {' '.join(counts)} when feed is null or feed not in ({known}) then 'column_count' when bad_field is not null then 'invalid_value' end as reason from b)"""
+
+
+def _p5_typed(name: str) -> str:
+    """SQL of the valid lines of a feed with typed columns."""
+    out = []
+    for k, (column, (form, kind)) in enumerate(FEEDS[name].items(), 1):
+        t = _value(name, k) if form is None else _bare(name, k)
+        if kind == "game_id":
+            t = f"lpad(regexp_replace({t}, '[.]0$', ''), 10, '0')"
+        elif kind == "boolean":
+            t = f"lower({t}) in ('true', '1')"
+        elif kind != "string":
+            t = f"try_cast({t} as {kind})"
+        out.append(f"{t} as {column}")
+    return f"with {_p5_base()} select line_id, {', '.join(out)} from r where feed = '{name}' and reason is null"
 
 
 _DRIFT = r"""
@@ -235,5 +267,9 @@ where b.player_id is null or s.player_id is null or s.o is distinct from b.o or
     "p4_ratings": f"""with {_GAMES} select ev.player_id, ev.game_id, strftime(game_date, '%Y-%m-%d') as game_date,
        max(v) filter (where rating_source = 'epm') as oepm, max(v) filter (where rating_source = 'dpm') as dpm
        from ev left join known k on k.player_id = ev.player_id and k.game_id = ev.game_id group by ev.player_id, ev.game_id, game_date""",
-    "p5_found": _p5_sql(),
+    "p5_found": f"with {_p5_base()} select line_id, reason from r where reason is not null",
+    "p5_rejected": f"with {_p5_base()} select line_id, file_name, line_no, reason, error_offset::bigint as error_offset, case when reason = 'invalid_value' then bad_field end as bad_field, line_text from r where reason is not null",
+    "p5_substitutions": _p5_typed("substitution"),
+    "p5_games": _p5_typed("game_metadata"),
+    "p5_free_throws": _p5_typed("free_throw"),
 }
