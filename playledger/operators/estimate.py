@@ -18,17 +18,20 @@ from ..session import cut
 from .sequences import along
 
 
-def pair_products(rows: DataFrame, features: str, weight: str, target: str) -> tuple[DataFrame, DataFrame]:
-    """(i, j, g) with i <= j and (i, b): the weighted Gram matrix and right side.
+def pair_products(rows: DataFrame, features: str, weight: str, target: str, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(i, j, g) with i <= j and (i, b): the weighted Gram matrix and right side; with ``by`` for each of its
+    values, as a column _by.
 
     ``features`` is an array of struct<f, v>, short per row by design (a lineup's players). Pairs of
     one row's features are summed map-side; keys are feature pairs, so no feature is one group.
     """
     fs = F.array_sort(F.col(features))
-    rows = rows.select(fs.alias("_f"), F.col(weight).alias("_w"), F.col(target).alias("_y"))
+    of = [F.col(by).alias("_by")] if by else []
+    rows = rows.select(*of, fs.alias("_f"), F.col(weight).alias("_w"), F.col(target).alias("_y"))
+    of = ["_by"] if by else []
     pairs = F.flatten(F.transform("_f", lambda x, i: F.transform(F.slice(F.col("_f"), i + 1, F.size("_f")), lambda y: F.struct(x["f"].alias("i"), y["f"].alias("j"), (x["v"] * y["v"] * F.col("_w")).alias("g")))))
-    gram = rows.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.g").alias("g"))
-    right = rows.select(F.explode("_f").alias("x"), "_w", "_y").groupBy(F.col("x.f").alias("i")).agg(F.sum(F.col("x.v") * F.col("_w") * F.col("_y")).alias("b"))
+    gram = rows.select(*of, F.explode(pairs).alias("p")).groupBy(*of, "p.i", "p.j").agg(F.sum("p.g").alias("g"))
+    right = rows.select(*of, F.explode("_f").alias("x"), "_w", "_y").groupBy(*of, F.col("x.f").alias("i")).agg(F.sum(F.col("x.v") * F.col("_w") * F.col("_y")).alias("b"))
     return gram, right
 
 
@@ -55,7 +58,7 @@ def ridge(
     if len(names) > dense:
         if errors:
             raise ValueError(f"standard errors for more than {dense} features")
-        return dict(zip(names, _conjugate(gram, names, b, penalty, centre, tolerance).tolist(), strict=True))
+        return dict(zip(names, conjugate(gram, names, b, penalty, centre, tolerance).tolist(), strict=True))
     g = gram.toPandas()
     a = np.zeros((len(names), len(names)))
     i, j = g["i"].map(at).to_numpy(), g["j"].map(at).to_numpy()
@@ -73,13 +76,28 @@ def ridge(
     return {f: (float(x), float(d)) for f, x, d in zip(names, solved, deviations, strict=True)}
 
 
-def _conjugate(gram: DataFrame, names: list, b: np.ndarray, penalty: np.ndarray, centre: np.ndarray, tolerance: float) -> np.ndarray:
+def _placed(gram: DataFrame, names: list) -> DataFrame:
+    """(a, b, g): the pairs with their features' places among the names."""
+    index = gram.sparkSession.createDataFrame(list(enumerate(names)), f"k int, f {dict(gram.dtypes)['i']}")
+    return gram.join(index.select(F.col("f").alias("i"), F.col("k").alias("a")), "i").join(index.select(F.col("f").alias("j"), F.col("k").alias("b")), "j").select("a", "b", "g")
+
+
+def quadratic(gram: DataFrame, names: list, beta: np.ndarray) -> float:
+    """beta' G beta, summed on the executors."""
+    held = gram.sparkSession.sparkContext.broadcast(beta)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            i, j = p["a"].to_numpy(), p["b"].to_numpy()
+            yield pd.DataFrame({"x": [float((p["g"].to_numpy() * held.value[i] * held.value[j] * np.where(i == j, 1, 2)).sum())]})
+
+    return _placed(gram, names).mapInPandas(run, "x double").agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
+
+
+def conjugate(gram: DataFrame, names: list, b: np.ndarray, penalty: np.ndarray, centre: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
     """Conjugate gradients with the diagonal as preconditioner; each step is one pass over the pairs."""
     spark = gram.sparkSession
-    kind = dict(gram.dtypes)["i"]
-    index = F.broadcast(spark.createDataFrame(list(enumerate(names)), f"k int, f {kind}")) if len(names) <= 1_000_000 else spark.createDataFrame(list(enumerate(names)), f"k int, f {kind}")
-    pairs = gram.join(index.select(F.col("f").alias("i"), F.col("k").alias("a")), "i").join(index.select(F.col("f").alias("j"), F.col("k").alias("b")), "j").select("a", "b", "g")
-    pairs = cut(pairs)
+    pairs = cut(_placed(gram, names))
     diagonal = penalty.copy()
     for r in pairs.where("a = b").collect():
         diagonal[r.a] += r.g

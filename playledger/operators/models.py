@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .estimate import pair_products
+from .estimate import conjugate, pair_products, quadratic
 from .ranks import numbered, running
 from .sequences import along
 
@@ -175,39 +174,53 @@ def ou_filter(panel: DataFrame, *, key: str, order: Sequence[str], value: str, e
     return along(rows, [key], list(order), lambda: (np.zeros(2), np.diag([level_var, swing_var]), True), step, "level double, swing double").select(key, *order, "level", "swing")
 
 
-def ridge_by_folds(rows: DataFrame, *, features: str, weight: str, target: str, fold: str, alphas: Sequence[float], most: int = 5000) -> DataFrame:
+def ridge_by_folds(rows: DataFrame, *, features: str, weight: str, target: str, fold: str, alphas: Sequence[float], dense: int = 6_000) -> DataFrame:
     """alpha, mse: weighted error of each alpha over folds, from per-fold sums alone.
 
-    The training sums of a fold are the whole sums less the fold's own; errors follow from the
-    fold's Gram matrix, right side and sum of squares, so rows are read once.
+    One pass over the rows gives the sums of all folds. The training sums of a fold are the whole sums
+    less the fold's own; errors follow from the fold's products, right side and sum of squares. Folds
+    are taken one after the other, whatever their number; beyond ``dense`` features the equations are
+    solved by conjugate gradients and no matrix comes to the driver. Rows without a fold are one fold.
     """
     spark = rows.sparkSession
-    folds = sorted(r[0] for r in rows.select(fold).distinct().limit(101).collect())
-    if len(folds) > 100:
-        raise ValueError("more than 100 folds")
-    parts = {}
-    for f in folds:
-        own = rows.where(F.col(fold) == f)
-        gram, right = pair_products(own, features, weight, target)
-        s = own.agg(F.sum(F.col(weight) * F.col(target) * F.col(target)).alias("yy"), F.sum(weight).alias("w")).first()
-        parts[f] = (gram.toPandas(), right.toPandas(), s.yy, s.w)
-    names = sorted(set(itertools.chain.from_iterable(p[1]["i"] for p in parts.values())))
-    if len(names) > most:
-        raise ValueError(f"more than {most} features")
+    gram, right = pair_products(rows, features, weight, target, by=fold)
+    gram, right = cut(gram), cut(right)
+    sums = rows.groupBy(F.col(fold).alias("_by")).agg(F.sum(F.col(weight) * F.col(target) * F.col(target)).alias("yy"), F.sum(weight).alias("w")).collect()
+    names = sorted(r.i for r in right.select("i").distinct().collect())
     at = {n: k for k, n in enumerate(names)}
-    dense = {}
-    for f, (g, b, yy, w) in parts.items():
-        a, v = np.zeros((len(names), len(names))), np.zeros(len(names))
+
+    def vector(part: DataFrame) -> np.ndarray:
+        v = np.zeros(len(names))
+        for r in part.groupBy("i").agg(F.sum("b").alias("b")).collect():
+            v[at[r.i]] = r.b
+        return v
+
+    def matrix(part: DataFrame) -> np.ndarray:
+        g = part.groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
+        m = np.zeros((len(names), len(names)))
         i, j = g["i"].map(at).to_numpy(), g["j"].map(at).to_numpy()
-        a[i, j] = a[j, i] = g["g"].to_numpy()
-        v[b["i"].map(at).to_numpy()] = b["b"].to_numpy()
-        dense[f] = a, v, yy, w
-    ga, gb = sum(d[0] for d in dense.values()), sum(d[1] for d in dense.values())
-    out = []
-    for alpha in alphas:
-        e = n = 0.0
-        for a, v, yy, w in dense.values():
-            beta = np.linalg.solve(ga - a + alpha * np.eye(len(names)), gb - v)
-            e, n = e + yy - 2 * beta @ v + beta @ a @ beta, n + w
-        out.append((float(alpha), float(e / n)))
+        m[i, j] = m[j, i] = g["g"].to_numpy()
+        return m
+
+    gb = vector(right)
+    small = len(names) <= dense
+    ga = matrix(gram) if small else None
+    errors, n = np.zeros(len(alphas)), 0.0
+    for s in sums:
+        own = F.col("_by").eqNullSafe(F.lit(s["_by"]))
+        v = vector(right.where(own))
+        n += s.w
+        if small:
+            a = matrix(gram.where(own))
+        else:
+            rest = cut(gram.where(~own).groupBy("i", "j").agg(F.sum("g").alias("g")))
+        for k, alpha in enumerate(alphas):
+            if small:
+                beta = np.linalg.solve(ga - a + alpha * np.eye(len(names)), gb - v)
+                square = beta @ a @ beta
+            else:
+                beta = conjugate(rest, names, gb - v, np.full(len(names), float(alpha)), np.zeros(len(names)))
+                square = quadratic(gram.where(own), names, beta)
+            errors[k] += s.yy - 2 * beta @ v + square
+    out = [(float(alpha), float(e / n)) for alpha, e in zip(alphas, errors, strict=True)] if n else []
     return spark.createDataFrame(out, "alpha double, mse double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimate, possessions as pos
 from ..operators.joins import unordered_pairs
+from ..session import cut
 from ..tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,7 +152,7 @@ def pbp_ridge(spark, sf_dir):
     """Offensive and defensive coefficients per 100 possessions by weighted ridge on lineups."""
     t = pos.complete(_chain(spark, sf_dir))
     # equal lineups first: as many rows as distinct pairs of lineups
-    t = t.groupBy(F.array_sort("O").alias("O"), F.array_sort("D").alias("D")).agg(F.count("*").cast("double").alias("w"), F.avg("points").alias("y"))
+    t = cut(t.groupBy(F.array_sort("O").alias("O"), F.array_sort("D").alias("D")).agg(F.count("*").cast("double").alias("w"), F.avg("points").alias("y")))
     mean = t.agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m")).first().m or 0.0
     feats = F.concat(F.transform("O", lambda p: F.struct((p * 2).alias("f"), F.lit(1.0).alias("v"))), F.transform("D", lambda p: F.struct((p * 2 + 1).alias("f"), F.lit(1.0).alias("v"))))
     rows = t.select(feats.alias("x"), "w", (F.col("y") - mean).alias("y"))

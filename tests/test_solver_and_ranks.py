@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playledger import contracts
-from playledger.operators import estimate, ranks, sequences, tables
+from playledger.operators import estimate, models, ranks, sequences, tables
 from playledger.operators.models import quantile_bins, series_chances, series_win_probability
 from playledger.sources import publish
 
@@ -76,6 +76,20 @@ def test_ridge_with_own_penalties_prior_and_free_columns(spark):
         estimate.ridge(rows, features="x", weight="w", target="y", alpha=1.0, dense=3, errors=True)
 
 
+def test_alphas_over_folds_both_ways(spark):
+    rows, names, m, w, y = design(spark, seed=4)
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("y"), F.lit(3)))
+    fold = np.array([r.fold for r in rows.select("fold").collect()])
+    got = {dense: {r.alpha: r.mse for r in models.ridge_by_folds(rows, features="x", weight="w", target="y", fold="fold", alphas=[2.0, 50.0], dense=dense).collect()} for dense in (6000, 2)}
+    for alpha in (2.0, 50.0):
+        e = 0.0
+        for k in range(3):
+            t = fold != k
+            beta = np.linalg.solve(m[t].T @ (m[t] * w[t, None]) + alpha * np.eye(len(names)), m[t].T @ (w[t] * y[t]))
+            e += (w[~t] * (y[~t] - m[~t] @ beta) ** 2).sum()
+        assert all(abs(g[alpha] - e / w.sum()) < 1e-8 for g in got.values())
+
+
 def test_standard_errors(spark):
     rows, names, m, w, y = design(spark, seed=2)
     got = estimate.ridge(rows, features="x", weight="w", target="y", alpha=1.0, errors=True)
