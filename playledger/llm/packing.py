@@ -8,6 +8,8 @@ by one task, and shards have about equal size however the keys are spread over t
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,11 +70,10 @@ def pack(items: DataFrame, kinds: DataFrame, *, key: str, size: str, kind: str,
     n = narrow.count()
     shards = max(1, -(-n // per_shard))
     valid = kinds.where(F.col(capacity) >= 1).select(F.col(kind).alias("_kind"), F.col(capacity).cast("int").alias("_capacity"))
-    # a handful of rows by definition: one per kind of container
-    listed = valid.limit(1001).collect()
-    if len(listed) > 1000:
-        raise ValueError("more than 1000 kinds of containers")
-    each = F.array(*(F.struct(F.lit(r._kind).alias("k"), F.lit(r._capacity).alias("c")) for r in listed)) if listed else F.array().cast("array<struct<k:int,c:int>>")
+    # two numbers a kind, where the result has a row per item and kind
+    kind_type = dict(valid.dtypes)["_kind"]
+    listed = json.dumps([{"k": r._kind, "c": r._capacity} for r in valid.collect()])
+    each = F.from_json(F.lit(listed), f"array<struct<k:{kind_type},c:int>>")
     spread = narrow.withColumn("_shard", F.pmod(F.xxhash64(F.coalesce(F.col("_key"), F.monotonically_increasing_id())), F.lit(shards)).cast("int")).withColumn("_e", F.explode(each))
     spread = spread.select("_key", "_size", "_shard", F.col("_e.k").alias("_kind"), F.col("_e.c").alias("_capacity"))
     pieces = F.greatest(F.floor((F.col("_size") - 1) / F.col("_capacity")), F.lit(0)).cast("int")
