@@ -197,14 +197,6 @@ def capped_minutes(spark, sf_dir):
     return models.capped_shares(p, "side", "player_id", "minutes", "cap", 240.0).withColumn("share", F.round("share", 6))
 
 
-@query()
-def skill_two_part_filter(spark, sf_dir):
-    p = _panel(spark, sf_dir)
-    w = Window.partitionBy("player_id").orderBy("game_date", "game_id")
-    p = p.withColumns({"rate": F.try_divide(F.col("pts").cast("double"), F.col("off_poss")), "exposure": F.coalesce(F.col("off_poss"), F.lit(0)).cast("double"), "gap": F.datediff("game_date", F.lag("game_date").over(w)).cast("double")})
-    return models.ou_filter(p, key="player_id", order=["game_date", "game_id"], value="rate", exposure="exposure", gap_days="gap", level_var=0.02, level_q=1e-5, swing_var=0.01, half_life=20.0, r=0.5)
-
-
 @query()
 def ridge_alpha_by_folds(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber", "l_discount"])

@@ -176,15 +176,6 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("player_id", F.col("gid").alias("game_id"), "r.*")
 
 
-@query()
-def skill_filter(spark, sf_dir):
-    """Scalar Kalman filter of three-point attempts per possession, per player over games."""
-    p = _panel(spark, sf_dir)
-    w = Window.partitionBy("player_id").orderBy("game_date", "game_id")
-    p = p.withColumns({"rate": F.try_divide(F.col("three_fga").cast("double"), F.col("off_poss")), "exposure": F.coalesce(F.col("off_poss"), F.lit(0)).cast("double"), "gap": F.datediff("game_date", F.lag("game_date").over(w)).cast("double")})
-    return estimate.kalman(p, key="player_id", order=["game_date", "game_id"], value="rate", exposure="exposure", gap_days="gap", prior_var=0.01, q_game=1e-4, q_day=1e-6, r=0.1)
-
-
 @query(_SKILL + """ select player_id, gid as game_id, sum(three_fga) over w as before_fga, sum(three_fgm) over w as before_fgm, round((coalesce(sum(three_fgm) over w, 0) + 35) / (coalesce(sum(three_fga) over w, 0) + 100.0), 6) as shrunk
 from one window w as (partition by player_id order by game_date, gid rows between unbounded preceding and 1 preceding)""")
 def skill_prior_only(spark, sf_dir):
