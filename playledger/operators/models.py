@@ -184,16 +184,14 @@ def ridge_by_folds(rows: DataFrame, *, features: str, weight: str, target: str,
     """
     spark = rows.sparkSession
     gram, right = pair_products(rows, features, weight, target, by=fold)
-    gram, right = cut(gram), cut(right)
+    gram = cut(gram)
     sums = rows.groupBy(F.col(fold).alias("_by")).agg(F.sum(F.col(weight) * F.col(target) * F.col(target)).alias("yy"), F.sum(weight).alias("w")).collect()
-    names = sorted(r.i for r in right.select("i").distinct().collect())
+    sides = right.collect()  # a number per fold and feature
+    names = sorted({r.i for r in sides})
     at = {n: k for k, n in enumerate(names)}
-
-    def vector(part: DataFrame) -> np.ndarray:
-        v = np.zeros(len(names))
-        for r in part.groupBy("i").agg(F.sum("b").alias("b")).collect():
-            v[at[r.i]] = r.b
-        return v
+    vectors: dict = {}
+    for r in sides:
+        vectors.setdefault(r["_by"], np.zeros(len(names)))[at[r.i]] = r.b
 
     def matrix(part: DataFrame) -> np.ndarray:
         g = part.groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
@@ -202,13 +200,13 @@ def ridge_by_folds(rows: DataFrame, *, features: str, weight: str, target: str,
         m[i, j] = m[j, i] = g["g"].to_numpy()
         return m
 
-    gb = vector(right)
+    gb = sum(vectors.values(), np.zeros(len(names)))
     small = len(names) <= dense
     ga = matrix(gram) if small else None
     errors, n = np.zeros(len(alphas)), 0.0
     for s in sums:
         own = F.col("_by").eqNullSafe(F.lit(s["_by"]))
-        v = vector(right.where(own))
+        v = vectors.get(s["_by"], np.zeros(len(names)))
         n += s.w
         if small:
             a = matrix(gram.where(own))

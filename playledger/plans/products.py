@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import estimate
-from ..operators.tables import hashed_unit
 from ..sources import files, publish
 from ..streaming import pipelines
 from ..tables import table
@@ -148,18 +147,19 @@ def cluster_sums(spark, sf_dir):
 _STEPS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
 
 
-@query(f"""with g as (select l_returnflag, l_orderkey, count(*) as n, sum(l_discount) as s from lineitem group by 1, 2), b as (select *, unnest(range(1, 201)) as r from g),
-u as (select *, ('0x' || substr(md5(l_orderkey || '-' || r), 1, 8))::bigint / 4294967296.0 as u from b), w as (select *, {' + '.join(f'(u > {x})::int' for x in _STEPS)} as w from u),
+@query(f"""with g as (select l_returnflag, l_orderkey, count(*) as n, sum(l_discount) as s from lineitem group by 1, 2), b as (select *, unnest(range(50)) as k from g), c as (select *, md5(l_orderkey || '-' || k) as h from b), d as (select *, unnest(range(4)) as j from c),
+u as (select *, 4 * k + j as r, ('0x' || substr(h, 8 * j + 1, 8))::bigint / 4294967296.0 as u from d), w as (select *, {' + '.join(f'(u > {x})::int' for x in _STEPS)} as w from u),
 m as (select l_returnflag, r, sum(w * s) / sum(w * n) as m from w group by 1, 2)
 select l_returnflag, round(quantile_cont(m, 0.025), 8) as lo, round(quantile_cont(m, 0.5), 8) as mid, round(quantile_cont(m, 0.975), 8) as hi from m group by 1""")
 def bootstrap_interval(spark, sf_dir):
     """Poisson bootstrap of the mean discount over orders as clusters, by hashed weights: l_returnflag, lo, mid, hi."""
-    rounds = 200
     g = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_returnflag", "l_discount"]).groupBy("l_returnflag", "l_orderkey").agg(F.count("*").alias("n"), F.sum("l_discount").alias("s"))
-    u = hashed_unit(F.col("l_orderkey").cast("string"), F.col("r").cast("string"))
+    # a hash has the numbers of four of the 200 rounds
+    h = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("h", F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("k").cast("string"))))
+    parts = F.array(*(F.struct((4 * F.col("k") + j).alias("r"), (F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("double") / 4294967296.0).alias("u")) for j in range(4)))
+    b = h.select("l_returnflag", "n", "s", F.explode(parts).alias("x")).select("l_returnflag", "n", "s", "x.r", "x.u")
     # inverse of the Poisson(1) distribution function at u
-    weight = sum((F.when(F.col("u") > x, 1).otherwise(0) for x in _STEPS), F.lit(0))
-    b = g.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("u", u).withColumn("w", weight)
+    b = b.withColumn("w", sum((F.when(F.col("u") > x, 1).otherwise(0) for x in _STEPS), F.lit(0)))
     m = b.groupBy("l_returnflag", "r").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return m.groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", F.round(F.col("q")[0], 8).alias("lo"), F.round(F.col("q")[1], 8).alias("mid"), F.round(F.col("q")[2], 8).alias("hi"))
