@@ -122,13 +122,84 @@ def pbp_scores(spark, sf_dir):
     return pos.timeline(table(spark, sf_dir, "raw_event")).select("game_id", "event_num", "home_score", "away_score", "score_margin")
 
 
-@query()
+_NOT_LAST = r"\b(1 of [23]|2 of 3|Technical|Flagrant)\b"
+_QUIET = r"T\.FOUL|FLAGRANT|Offens|Transition"
+_IN = "partition by game_id order by period, clock desc, event_num"
+_PART = "partition by game_id, part order by period, clock desc, event_num"
+
+
+def _packed(side: str) -> str:
+    slots = "[" + ", ".join(f"coalesce({side}_player{i}, 0)" for i in range(1, 6)) + "]"
+    return f"list_concat(list_filter({slots}, lambda x, i: x > 0 and list_position({slots}, x) = i), [0, 0, 0, 0, 0])[1:5]"
+
+
+def _clean(c: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _whole_chain() -> str:
+    """SQL of the possession table: labels of neutral turnovers, foul lineups, filled lineups, numerators."""
+    t2, t3 = "concat_ws(' ', t_h, t_a)", "concat_ws(' ', t_h, t_a, t_n)"
+    rim, three, make = _RIM, _THREE, "event_type = 1"
+    dunk = f"(coalesce(event_action_type, -1) in {pos.DUNK_ACTIONS} or regexp_matches({t2}, '(?i)\\bdunk\\b'))"
+    assisted = f"({make} and regexp_matches({t2}, '(?i)\\(.*[0-9]+ AST\\)'))"
+    shot = f"case when {make} and {three} then 3 when {make} then 2 else 0 end"
+    pts = "points_h + points_a"
+    flags = {
+        "points": pts, "fga": "(event_type in (1, 2))::int", "turnovers": "(event_type = 5)::int",
+        "bad_passes": f"(event_type = 5 and regexp_matches({t3}, '(?i)bad pass'))::int", "other_turnovers": f"(event_type = 5 and not regexp_matches({t3}, '(?i)bad pass'))::int",
+        "rim_attempts": f"(event_type in (1, 2) and {rim} and not {three})::int", "rim_makes": f"({make} and {rim} and not {three})::int",
+        "three_attempts": f"(event_type in (1, 2) and {three})::int", "three_makes": f"({make} and {three})::int",
+        "mid_attempts": f"(event_type in (1, 2) and not {three} and not {rim})::int", "mid_makes": f"({make} and not {three} and not {rim})::int",
+        "dunks": f"({make} and {dunk})::int", "assist_points": f"case when {assisted} then {shot} else 0 end", "rim_assists": f"({assisted} and {rim} and not {three})::int", "dunk_assists": f"({assisted} and {dunk})::int",
+        "free_throws": "(event_type = 3)::int", "free_throw_points": f"case when event_type = 3 then {pts} else 0 end",
+        "offensive_rebounds": "(event_type = 4 and ((regexp_matches(t_h, '(?i)REBOUND') and regexp_matches(p_h, '(?i)MISS')) or (regexp_matches(t_a, '(?i)REBOUND') and regexp_matches(p_a, '(?i)MISS'))))::int",
+        "transition": f"regexp_matches({t3}, '(?i)transition')::int", "second_chance_points": f"case when after_miss then {pts} else 0 end",
+    }
+    second = " or ".join(f"(regexp_matches(t_{x}, '(?i)REBOUND') and regexp_matches(p_{x}, '(?i)MISS') and regexp_matches(p_{x}, '(?i)Free Throw') and not regexp_matches(p_{x}, '(?i){_NOT_LAST}'))" for x in "ha")
+    filled = {x: "[" + ", ".join(f"case when l_{x}[{i}] > 0 then l_{x}[{i}] else coalesce(last_value(nullif(l_{x}[{i}], 0) ignore nulls) over (w rows unbounded preceding), 0) end" for i in range(1, 6)) + "]" for x in "ha"}
+    return f"""{_BASE},
+lb as (select team_id, list_filter([{_clean('team_abbreviation')}, {_clean('team_city')}, {_clean('team_nickname')}], lambda x: x <> '') as labels from team),
+gt as (select game_id as gid, arg_max({{'h': home_team_id, 'a': away_team_id}}, updated_ts) as t from game_metadata group by 1),
+gl as (select gid, h.labels as lh, a.labels as la from gt left join lb h on h.team_id = t.h left join lb a on a.team_id = t.a),
+t0 as (select * replace (lpad(game_id, 10, '0') as game_id), {_packed('home')} as l_h, {_packed('away')} as l_a, coalesce({second}, false) as off_ft_reb from tm),
+t1 as (select *, ' ' || {_clean('t_n')} || ' ' as label from t0 left join gl on gl.gid = t0.game_id),
+t2 as (select *, coalesce(len(list_filter(lh, lambda x: contains(label, ' ' || x || ' '))) > 0, false) as in_h, coalesce(len(list_filter(la, lambda x: contains(label, ' ' || x || ' '))) > 0, false) as in_a from t1),
+t3 as (select * replace (case when event_type = 5 and offense = '' and regexp_matches(t_n, '(?i)Turnover') then case when in_h and not in_a then 'Home' when in_a and not in_h then 'Away' else '' end else offense end as offense) from t2),
+f1 as (select *, event_type = 6 and lead(1, 4) over w is not null and coalesce(sum((event_type = 3)::int) over (w rows between current row and 4 following), 0) > 0 and coalesce(sum((event_type = 8)::int) over (w rows between current row and 4 following), 0) > 0
+  and not regexp_matches(t_a, '{_QUIET}') and not regexp_matches(t_h, '{_QUIET}') as foul, eop or off_ft_reb as stop from t3 window w as ({_IN})),
+f2 as (select *, coalesce(sum(stop::int) over ({_IN} rows between unbounded preceding and 1 preceding), 0) as part from f1),
+f3 as (select *, case when foul and not stop then {{'h': l_h, 'a': l_a}} end as any_, case when foul and not stop and coalesce(sum((event_type = 3)::int) over ({_PART} rows between 1 following and unbounded following), 0) > 0 then {{'h': l_h, 'a': l_a}} end as from_ from f2),
+f4 as (select *, first_value(from_ ignore nulls) over ({_PART} rows between unbounded preceding and 1 preceding) as held, first_value(any_ ignore nulls) over ({_PART} rows between unbounded preceding and 1 preceding) as at_foul from f3),
+f5 as (select *, off_ft_reb and not eop and at_foul is not null and (at_foul.h <> l_h or at_foul.a <> l_a) as changed from f4),
+f6 as (select * replace (case when (not off_ft_reb or eop) and held is not null then held.h else l_h end as l_h, case when (not off_ft_reb or eop) and held is not null then held.a else l_a end as l_a, eop or coalesce(lead(changed) over ({_IN}), false) as eop) from f5),
+f7 as (select *, {filled['h']} as fh, {filled['a']} as fa, eop and (len(list_filter(l_h, lambda x: x > 0)) < 4 or len(list_filter(l_a, lambda x: x > 0)) < 4) as few from f6 window w as ({_IN})),
+c1 as (select * replace (case when few then fh else l_h end as l_h, case when few then fa else l_a end as l_a), coalesce(sum(eop::int) over ({_IN} rows between unbounded preceding and 1 preceding), 0) as poss from f7),
+c2 as (select *, coalesce(first_value(nullif(offense, '') ignore nulls) over (partition by game_id, poss order by period, clock desc, event_num rows between current row and unbounded following),
+  last_value(nullif(offense, '') ignore nulls) over (partition by game_id, poss order by period, clock desc, event_num rows between unbounded preceding and current row)) as o from c1),
+c3 as (select *, coalesce(o, case when eop then case last_value(case when eop then o end ignore nulls) over (partition by game_id, period order by clock desc, event_num rows between unbounded preceding and 1 preceding) when 'Home' then 'Away' when 'Away' then 'Home' end end, '') as poss_offense,
+  coalesce(max((event_type = 2)::int) over (partition by game_id, poss order by period, clock desc, event_num rows between unbounded preceding and 1 preceding), 0) = 1 as after_miss,
+  case when row_number() over w = 1 then coalesce(home_score, 0) else home_score end as hs0, case when row_number() over w = 1 then coalesce(away_score, 0) else away_score end as as0 from c2 window w as ({_IN})),
+c4 as (select *, last_value(hs0 ignore nulls) over w as hs, last_value(as0 ignore nulls) over w as as_ from c3 window w as ({_IN})),
+mt as (select game_id, poss, {', '.join(f'sum({x})::bigint as {k}' for k, x in flags.items())} from c4 group by 1, 2),
+en as (select game_id, poss, period, clock, event_num, poss_offense, case when poss_offense = 'Home' then l_h else l_a end as O, case when poss_offense = 'Home' then l_a else l_h end as D, hs as home_score, as_ as away_score, case when hs = as_ then 'TIE' else (hs - as_)::int::varchar end as score_margin from c4 where eop),
+pt as (select en.*, {', '.join(f'mt.{k}' for k in flags)} from en join mt using (game_id, poss)
+  where len(list_distinct(list_filter(O, lambda x: x > 0))) >= 5 and len(list_distinct(list_filter(D, lambda x: x > 0))) >= 5 and not list_has_any(list_filter(O, lambda x: x > 0), list_filter(D, lambda x: x > 0)) and poss_offense <> '')"""
+
+
+_TABLE = _whole_chain()
+
+
+@query(f"with {_TABLE} select * replace (poss::bigint as poss) from pt")
 def pbp_possession_table(spark, sf_dir):
     """The whole chain: foul lineups, filled lineups, offense and defense slots, all numerators."""
     return pos.complete(_chain(spark, sf_dir))
 
 
-@query()
+@query(f"""with {_TABLE}, o as (select array_to_string(list_sort(O), '-') as lineup_key, count(*) as off_poss, sum(points)::bigint as off_points, count(distinct game_id) as off_games from pt group by 1),
+d as (select array_to_string(list_sort(D), '-') as lineup_key, count(*) as def_poss, sum(points)::bigint as def_points, count(distinct game_id) as def_games from pt group by 1)
+select lineup_key, coalesce(off_poss, 0) as off_poss, coalesce(off_points, 0) as off_points, coalesce(off_games, 0) as off_games, coalesce(def_poss, 0) as def_poss, coalesce(def_points, 0) as def_points, coalesce(def_games, 0) as def_games,
+ round(100.0 * off_points / off_poss, 3) as off_rating, round(100.0 * def_points / def_poss, 3) as def_rating from o full join d using (lineup_key)""")
 def pbp_lineups(spark, sf_dir):
     """Lineup table: possessions and points for and against of each five."""
     t = pos.complete(_chain(spark, sf_dir))
@@ -139,7 +210,7 @@ def pbp_lineups(spark, sf_dir):
     return j.select("lineup_key", "off_poss", "off_points", "off_games", "def_poss", "def_points", "def_games", *rate)
 
 
-@query()
+@query(f"with {_TABLE}, e as (select game_id, poss, points, unnest(O) as p from pt) select a.p as a, b.p as b, count(*) as poss, sum(a.points)::bigint as points from e a join e b on a.game_id = b.game_id and a.poss = b.poss and a.p < b.p where a.p > 0 group by 1, 2")
 def pbp_teammate_pairs(spark, sf_dir):
     """Possessions that two players shared on offense, with the points of these."""
     t = pos.complete(_chain(spark, sf_dir)).select("game_id", "poss", "points", F.explode("O").alias("player"))
